@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import os
 import tempfile
@@ -37,6 +38,11 @@ class Scratch:
         df.write.option("compression", "zstd").mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def settle(self) -> None:
+        """Let Spark remove the shuffle files of jobs that nothing refers to any more, before the next ones are written."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from lodestar.plans import graphs, hashing, keyed, spatial, statistics  # noqa: F401  (each registers its queries)
+from lodestar.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracles() -> dict:
-    return {}
+def oracles() -> dict[str, str]:
+    return dict(ORACLES)

@@ -8,7 +8,7 @@
 3. Components by alternating large-star and small-star steps.
 
 A pair at the threshold misses all bands with probability (1 - t**BAND)**(REGISTERS / BAND), 5e-9 at t = 0.8; a pair of small sets
-shares bands of few non-empty registers, so it is found too. No bucket, group or number of partners is capped.
+fills its empty registers from others, so the same holds for it. No bucket, group or number of partners is capped.
 """
 
 from __future__ import annotations
@@ -55,10 +55,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def hashes(items: set[str]) -> np.ndarray:
-    import xxhash
+class _Words(dict):
+    """Hashes of words, kept in a table of bounded size."""
 
-    return np.fromiter((xxhash.xxh3_64_intdigest(s) for s in items), np.uint64, len(items))
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) >= 500_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def hashes(text: str | None, width: int, known: _Words | None = None) -> np.ndarray:
+    """64-bit hashes of the distinct shingles, ascending: each a polynomial of its words' hashes."""
+    words = WORDS.findall((text or "").translate(UPPER))
+    if not words:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map((known if known is not None else _Words()).__getitem__, words), np.uint64, len(words))
+    size = min(width, len(w))
+    n = len(w) - size + 1
+    h = np.full(n, np.uint64(size))
+    for k in range(size):
+        h = _mix(h) * _odd()[2] + w[k : k + n]
+    return np.unique(_mix(h))
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
@@ -73,6 +93,27 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return np.where(full, ((zeros + 1) << MANTISSA) | mantissa.astype(np.int64), 0).astype("<u2")
 
 
+@lru_cache(maxsize=1)
+def _lenders() -> np.ndarray:
+    """For each register, the order in which it asks the others for a value."""
+    rng = np.random.default_rng(13)
+    return np.stack([rng.permutation(REGISTERS) for _ in range(REGISTERS)])
+
+
+def densify(regs: np.ndarray) -> np.ndarray:
+    """Empty registers take the value of the first non-empty one in an order of their own, so that small sets fill all bands.
+
+    Registers of two sets then agree with the probability of their similarity, and one common shingle does not make a band.
+    """
+    empty = np.flatnonzero(regs == 0)
+    if not len(empty) or not regs.any():
+        return regs
+    lent = regs[_lenders()[empty]]
+    out = regs.copy()
+    out[empty] = lent[np.arange(len(empty)), (lent != 0).argmax(axis=1)]
+    return out
+
+
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Jaccard estimates of sketches (rows), less the share of registers that agree by chance alone.
 
@@ -100,29 +141,30 @@ def likely(a, b, na, nb, threshold: float) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the shingle set, and the sketch."""
+    """doc_id, n_shingles, a 128-bit fingerprint of the shingle set, the sketch, and the sketch with no register empty."""
 
     def signed(batches):
         import xxhash
 
+        known = _Words()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                s = shingles(text, width)
-                h = hashes(s)
-                rows.append((doc_id, len(s), xxhash.xxh3_128_digest(np.sort(h).tobytes()) if s else None, sketch(h).tobytes() if s else None))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "n_shingles", "set_id", "regs"])
+                h = hashes(text, width, known)
+                regs = sketch(h)
+                rows.append((doc_id, len(h), *((xxhash.xxh3_128_digest(h.tobytes()), regs.tobytes(), densify(regs).tobytes()) if len(h) else (None, None, None))))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_shingles", "set_id", "regs", "dense"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(signed, "doc_id long, n_shingles long, set_id binary, regs binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(signed, "doc_id long, n_shingles long, set_id binary, regs binary, dense binary")
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(band, b, doc_id): one row per band with a non-empty register; b is its number."""
+    """(band, b, doc_id): one row per band; b is its number."""
     size = 2 * BAND
-    each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("b"), F.substring(F.col("regs"), b * size + 1, F.lit(size)).alias("v"))))
-    rows = classes.select("doc_id", each.alias("x")).where(F.col("x.v") != F.lit(bytes(size)))
-    return rows.select(F.xxhash64("x.b", "x.v").alias("band"), F.col("x.b").alias("b"), "doc_id")
+    each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("b"), F.substring(F.col("dense"), b * size + 1, F.lit(size)).alias("v"))))
+    return classes.select("doc_id", each.alias("x")).select(F.xxhash64("x.b", "x.v").alias("band"), F.col("x.b").alias("b"), "doc_id")
 
 
 def star_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -210,31 +252,40 @@ def _apart(members: DataFrame, classes: DataFrame, threshold: float) -> DataFram
     sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     top = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("t"), F.sum("n").alias("size"))
     open_bands = top.where("t.n < size").select("band", F.col("t.component").alias("top"), "size")
-    rows = members.join(open_bands, "band").join(classes.select("doc_id", "regs", "n_shingles"), "doc_id")
+    rows = members.join(open_bands, "band").join(classes.select("doc_id", "regs", "dense", "n_shingles"), "doc_id")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)).cast("long")).withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("long"))
     rest = rows.where("component <> top").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rest = rest.select("band", "b", F.col("chunk").alias("p"), F.col("other").alias("q"), "doc_id", "component", "regs", "n_shingles")
+    rest = rest.select("band", "b", F.col("chunk").alias("p"), F.col("other").alias("q"), "doc_id", "component", "regs", "dense", "n_shingles")
     needed = rest.select(F.col("band").alias("f_band"), F.col("p").alias("f_p"), F.col("q").alias("f_q")).distinct()
-    facing = rows.select(F.col("band").alias("r_band"), "chunk", *(F.col(c).alias(c) for c in ("doc_id", "component", "regs", "n_shingles")))
+    facing = rows.select(F.col("band").alias("r_band"), "chunk", *(F.col(c).alias(c) for c in ("doc_id", "component", "regs", "dense", "n_shingles")))
     facing = facing.join(needed, (F.col("r_band") == F.col("f_band")) & (F.col("chunk") == F.col("f_q")))
 
     def compared(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        r = np.frombuffer(b"".join(right["regs"]), "<u2").reshape(len(right), -1)
+        r, one = (np.frombuffer(b"".join(x["regs"]), "<u2").reshape(len(x), -1) for x in (right, left))
+        r_code, one_code = (_band_codes(x["dense"]) for x in (right, left))
         ids, parts, n = (right[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
-        r_bands, here, out = r.reshape(len(r), BANDS, BAND), int(left["b"].iloc[0]), []
-        for x, c, k, regs in zip(left["doc_id"], left["component"], left["n_shingles"], left["regs"], strict=True):
-            one = np.frombuffer(regs, "<u2")
-            shared = (r_bands == one.reshape(BANDS, BAND)).all(axis=2) & one.reshape(BANDS, BAND).any(axis=1)
-            ok = (parts != c) & (shared.argmax(axis=1) == here)
-            ok[ok] = likely(np.broadcast_to(one, (int(ok.sum()), len(one))), r[ok], np.full(int(ok.sum()), k), n[ok], threshold)
+        here, out = int(left["b"].iloc[0]), []
+        for k, (x, c, size) in enumerate(zip(left["doc_id"], left["component"], left["n_shingles"], strict=True)):
+            ok = np.flatnonzero(parts != c)
+            ok = ok[~(r_code[ok, :here] == one_code[k, :here]).any(axis=1)]  # each pair in the first band that it shares
+            ok = ok[likely(np.broadcast_to(one[k], (len(ok), r.shape[1])), r[ok], np.full(len(ok), size), n[ok], threshold)]
             out += [(min(x, y), max(x, y)) for y in ids[ok]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return rest.groupBy("band", "p", "q").cogroup(facing.groupBy("f_band", "f_p", "f_q")).applyInPandas(compared, "a long, b long").distinct()
 
 
+def _band_codes(dense: pd.Series) -> np.ndarray:
+    """One 64-bit number per row and band."""
+    values = np.frombuffer(b"".join(dense), "<u2").reshape(len(dense), BANDS, BAND).astype(np.uint64)
+    code = np.zeros(values.shape[:2], np.uint64)
+    for k in range(BAND):
+        code = _mix(code + values[:, :, k])
+    return code
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs`.
 
@@ -249,7 +300,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     signed = scratch.write(signatures(docs, width), "signed")
     sets = signed.where("set_id is not null and doc_id is not null")
     labelled = sets.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    classes = scratch.write(sets.join(labelled, ["set_id", "doc_id"]).groupBy("doc_id").agg(F.first("regs").alias("regs"), F.first("n_shingles").alias("n_shingles")), "classes")
+    classes = scratch.write(sets.join(labelled, ["set_id", "doc_id"]).groupBy("doc_id").agg(F.first("regs").alias("regs"), F.first("dense").alias("dense"), F.first("n_shingles").alias("n_shingles")), "classes")
     every = bands(classes)
     shared = every.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("n > 1")
     members = scratch.write(every.join(shared.select("band", "low", "high"), "band"), "members")

@@ -30,6 +30,7 @@ UPPER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 BAND, BANDS = 5, 48
 REGISTERS = BAND * BANDS
 MANTISSA = 10
+SMALL = 32  # bands of up to so many classes are joined with themselves; larger ones are compared in blocks
 BLOCK = 512  # classes of a block when pairs are compared or confirmed
 
 
@@ -247,12 +248,16 @@ def _apart(members: DataFrame, classes: DataFrame, threshold: float) -> DataFram
     """Candidate pairs of classes in one band but in different components.
 
     members: (band, doc_id, component). In each band the largest component's classes are one side only: their links among
-    each other change nothing. Both sides are cut into blocks; a pair counts in the first band it shares.
+    each other change nothing. Both sides of a large band are cut into blocks; there a pair counts in the first band it shares.
     """
     sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     top = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("t"), F.sum("n").alias("size"))
     open_bands = top.where("t.n < size").select("band", F.col("t.component").alias("top"), "size")
-    rows = members.join(open_bands, "band").join(classes.select("doc_id", "regs", "dense", "n_shingles"), "doc_id")
+    few = members.join(open_bands.where(F.col("size") <= SMALL).select("band"), "band")
+    other = few.select(F.col("band").alias("o_band"), F.col("doc_id").alias("o_id"), F.col("component").alias("o_part"))
+    met = few.join(other, (F.col("band") == F.col("o_band")) & (F.col("doc_id") < F.col("o_id")) & (F.col("component") != F.col("o_part")))
+    pairs = _estimated(met.select(F.col("doc_id").alias("a"), F.col("o_id").alias("b")).distinct(), classes, threshold)
+    rows = members.join(open_bands.where(F.col("size") > SMALL), "band").join(classes.select("doc_id", "regs", "dense", "n_shingles"), "doc_id")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)).cast("long")).withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("long"))
     rest = rows.where("component <> top").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rest = rest.select("band", "b", F.col("chunk").alias("p"), F.col("other").alias("q"), "doc_id", "component", "regs", "dense", "n_shingles")
@@ -274,7 +279,7 @@ def _apart(members: DataFrame, classes: DataFrame, threshold: float) -> DataFram
             out += [(min(x, y), max(x, y)) for y in ids[ok]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return rest.groupBy("band", "p", "q").cogroup(facing.groupBy("f_band", "f_p", "f_q")).applyInPandas(compared, "a long, b long").distinct()
+    return rest.groupBy("band", "p", "q").cogroup(facing.groupBy("f_band", "f_p", "f_q")).applyInPandas(compared, "a long, b long").unionAll(pairs).distinct()
 
 
 def _band_codes(dense: pd.Series) -> np.ndarray:

@@ -49,10 +49,11 @@ def corpus(seed=0):
     return [(order[i], t) for i, t in rows]
 
 
-def test_groups_equal_brute_force(spark):
+def test_groups_equal_brute_force(spark, monkeypatch):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, i, None) for i, t in rows], "doc_id long, text string, component long, b string")
-    for width in (4, 5):
+    for width, small in ((4, 2), (5, 32)):
+        monkeypatch.setattr(neardup, "SMALL", small)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs, width).collect()}
         assert got == brute(rows, width, 80)
 

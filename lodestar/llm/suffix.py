@@ -16,6 +16,7 @@ Buckets and groups grow in number with the input, not in size. Nothing is capped
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import GROUP_BYTES, Scratch, group_count, spread, text_bytes
+from lodestar.llm.common import GROUP_BYTES, Scratch, shuffle_partitions, spread, text_bytes
 
 SHARDS = 8
 ROWS = 1 << 18  # suffix rows of one merge, but for the last anchor's
@@ -321,14 +322,17 @@ def repeats(docs: DataFrame, span: int = 50, keep_text: bool = False) -> DataFra
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     total = text_bytes(docs)
-    groups = buckets = group_count(spark, total, GROUP_BYTES)
+    groups = max(2 * shuffle_partitions(spark), math.ceil(total / GROUP_BYTES))
+    buckets = max(shuffle_partitions(spark), math.ceil(total / (4 * GROUP_BYTES)))  # fewer: a piece goes from each bucket to each group
     text = F.col("text").cast("string")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"), spread(groups, F.col("doc_id").cast("long"), F.xxhash64(text)).alias("g"))
     with_id = keyed.where("doc_id is not null").where(F.octet_length("text") >= span)
     shared = scratch.write(_shared(_occurrences(with_id.select("text", "g"), span, buckets, groups), groups), "shared")
+    scratch.settle()
     contexts = _contexts(with_id, shared, span, buckets)
     found = scratch.write(_spans(contexts, span, groups), "spans")
     scratch.drop("shared")
+    scratch.settle()
     # names of their own for the helper columns, whatever columns `docs` has
     g, row = (next(f"{c}{'_' * k}" for k in range(99) if f"{c}{'_' * k}" not in docs.columns) for c in ("_g", "_row"))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")] if keep_text else []

@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,22 +28,27 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import Scratch, shuffle_partitions
 
 WORDS = re.compile(r"[^ \t-\r]+")
-UPPER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 BAND, BANDS = 5, 48
 REGISTERS = BAND * BANDS
 MANTISSA = 10
 SMALL = 32  # bands of up to so many classes are joined with themselves; larger ones are compared in blocks
+PART = 1 << 20  # bytes of text whose sketches are taken at once
 BLOCK = 512  # classes of a block when pairs are compared or confirmed
 
 
+def words(text: str | None) -> list[str]:
+    """Words of a text with A-Z in lower case: bytes.lower() touches these letters only."""
+    return WORDS.findall((text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+
+
 def shingles(text: str | None, width: int) -> set[str]:
     """Distinct shingles of lower-cased (A-Z) words; a shorter text is one shingle, one without words has none."""
-    words = WORDS.findall((text or "").translate(UPPER))
-    if not words:
+    found = words(text)
+    if not found:
         return set()
-    if len(words) <= width:
-        return {" ".join(words)}
-    return set(map(" ".join, zip(*(words[k:] for k in range(width)), strict=False)))
+    if len(found) <= width:
+        return {" ".join(found)}
+    return set(map(" ".join, zip(*(found[k:] for k in range(width)), strict=False)))
 
 
 @lru_cache(maxsize=1)
@@ -62,36 +69,49 @@ class _Words(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-def hashes(text: str | None, width: int, known: _Words | None = None) -> np.ndarray:
-    """64-bit hashes of the distinct shingles, ascending: each a polynomial of its words' hashes."""
-    words = WORDS.findall((text or "").translate(UPPER))
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map((known if known is not None else _Words()).__getitem__, words), np.uint64, len(words))
-    size = min(width, len(w))
+def _rolled(w: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each `size` consecutive word hashes: a polynomial of them."""
     n = len(w) - size + 1
     h = np.full(n, np.uint64(size))
     for k in range(size):
         h = _mix(h) * _odd()[2] + w[k : k + n]
-    return np.unique(_mix(h))
+    return _mix(h)
+
+
+def hashes(texts: list[str | None], width: int, known: _Words | None = None) -> list[np.ndarray]:
+    """64-bit hashes of the distinct shingles of each text, ascending."""
+    known = known if known is not None else _Words()
+    lists = [words(t) for t in texts]
+    counts = np.array([len(x) for x in lists], np.int64)
+    w = np.fromiter(map(known.__getitem__, chain.from_iterable(lists)), np.uint64, int(counts.sum()))
+    every = _rolled(w, width) if len(w) >= width else np.zeros(0, np.uint64)
+    starts = (np.cumsum(counts) - counts).tolist()
+    out = []
+    for start, n in zip(starts, counts.tolist(), strict=True):
+        if n >= width:
+            out.append(np.unique(every[start : start + n - width + 1]))
+        else:
+            out.append(_rolled(w[start : start + n], n) if n else np.zeros(0, np.uint64))
+    return out
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """REGISTERS values of leading zeros << MANTISSA | mantissa of each bucket's smallest hash; 0 where no hash fell."""
-    h = _mix(h)
-    low = np.full(REGISTERS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    np.minimum.at(low, (h % np.uint64(REGISTERS)).astype(np.int64), _mix(h))
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Per set REGISTERS values of leading zeros << MANTISSA | mantissa of each bucket's smallest hash; 0 where no hash fell."""
+    h = _mix(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+    place = np.repeat(np.arange(len(sets)) * REGISTERS, [len(x) for x in sets]) + (h % np.uint64(REGISTERS)).astype(np.int64)
+    low = np.full(len(sets) * REGISTERS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    np.minimum.at(low, place, _mix(h))
     full = low != np.uint64(0xFFFFFFFFFFFFFFFF)
     low |= np.uint64(1 << MANTISSA)
     zeros = 63 - np.floor(np.log2((low >> np.uint64(11)).astype(np.float64)) + 11).astype(np.int64)
     mantissa = (low << (zeros + 1).astype(np.uint64)) >> np.uint64(64 - MANTISSA)
-    return np.where(full, ((zeros + 1) << MANTISSA) | mantissa.astype(np.int64), 0).astype("<u2")
+    return np.where(full, ((zeros + 1) << MANTISSA) | mantissa.astype(np.int64), 0).astype("<u2").reshape(-1, REGISTERS)
 
 
 @lru_cache(maxsize=1)
@@ -106,12 +126,14 @@ def densify(regs: np.ndarray) -> np.ndarray:
 
     Registers of two sets then agree with the probability of their similarity, and one common shingle does not make a band.
     """
-    empty = np.flatnonzero(regs == 0)
-    if not len(empty) or not regs.any():
-        return regs
-    lent = regs[_lenders()[empty]]
     out = regs.copy()
-    out[empty] = lent[np.arange(len(empty)), (lent != 0).argmax(axis=1)]
+    row, col = np.nonzero((regs == 0) & regs.any(axis=1)[:, None])
+    for turn in range(REGISTERS):
+        if not len(row):
+            break
+        lent = regs[row, _lenders()[col, turn]]
+        out[row, col] = lent
+        row, col = row[lent == 0], col[lent == 0]
     return out
 
 
@@ -149,14 +171,19 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
         known = _Words()
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                h = hashes(text, width, known)
-                regs = sketch(h)
-                rows.append((doc_id, len(h), *((xxhash.xxh3_128_digest(h.tobytes()), regs.tobytes(), densify(regs).tobytes()) if len(h) else (None, None, None))))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_shingles", "set_id", "regs", "dense"])
+            texts, at = batch["text"], 0
+            lengths = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+            while at < batch.num_rows:  # so many texts at once as make PART bytes, or one
+                to = max(at + 1, int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + PART, "right")))
+                sets = hashes(texts.slice(at, to - at).to_pylist(), width, known)
+                regs = sketches(sets)
+                dense = densify(regs)
+                some = [len(h) > 0 for h in sets]
+                set_id = [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets]
+                packed = [[x.tobytes() if ok else None for x, ok in zip(rows, some, strict=True)] for rows in (regs, dense)]
+                columns = [batch["doc_id"].slice(at, to - at), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(c, pa.binary()) for c in (set_id, *packed))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_id", "regs", "dense"])
+                at = to
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(signed, "doc_id long, n_shingles long, set_id binary, regs binary, dense binary")
 

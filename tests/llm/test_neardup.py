@@ -74,7 +74,7 @@ def test_estimates_are_close():
         common = {f"c{i}" for i in range(int(n * share))}
         a = common | {f"a{i}" for i in range((n - len(common)) // 2)}
         b = common | {f"b{i}" for i in range((n - len(common)) // 2)}
-        x, y = (neardup.sketch(neardup.hashes("\n".join(s), 1)).reshape(1, -1) for s in (a, b))
+        x, y = (neardup.sketches(neardup.hashes(["\n".join(s)], 1)) for s in (a, b))
         got = neardup.estimate(x, y, np.array([len(a)]), np.array([len(b)]))[0]
         assert abs(got - len(a & b) / len(a | b)) < 0.1
     del rng
@@ -83,7 +83,7 @@ def test_estimates_are_close():
 def test_chance_collisions_match_the_correction():
     hits = total = 0
     for k in range(20):
-        x, y = (neardup.sketch(neardup.hashes(" ".join(f"{s}{k}-{i}" for i in range(5000)), 1)) for s in "ab")
+        x, y = (neardup.sketches(neardup.hashes([" ".join(f"{s}{k}-{i}" for i in range(5000))], 1))[0] for s in "ab")
         hits += int((x == y).sum())
         total += len(x)
     assert hits / total < 5 / 2**neardup.MANTISSA
@@ -92,14 +92,14 @@ def test_chance_collisions_match_the_correction():
 def test_hashes_count_distinct_shingles(odd):
     for r in odd.collect():
         for width in (1, 4, 5):
-            assert len(neardup.hashes(r["text"], width)) == len(neardup.shingles(r["text"], width))
+            assert len(neardup.hashes([r["text"]], width)[0]) == len(neardup.shingles(r["text"], width))
 
 
 def test_densified_registers_agree_as_the_sets_do():
     hits = []
     for k in range(60):
         common, a, b = ([f"{s}{k}-{i}" for i in range(m)] for s, m in (("c", 12), ("a", 2), ("b", 1)))
-        x, y = (neardup.densify(neardup.sketch(neardup.hashes(" ".join(w), 1))) for w in (common + a, common + b))
+        x, y = (neardup.densify(neardup.sketches(neardup.hashes([" ".join(w)], 1)))[0] for w in (common + a, common + b))
         assert (x != 0).all()
         hits.append((x == y).mean())
     assert abs(np.mean(hits) - 12 / 15) < 0.05

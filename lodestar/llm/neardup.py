@@ -3,7 +3,7 @@
 1. Each document's distinct word shingles give REGISTERS registers, each the count of leading zeros and the next
    mantissa bits of the smallest hash in its bucket (16 bits in all). Documents with equal shingle sets share one class.
 2. Classes that agree in a band of registers are candidates. Two passes compare each class with one pivot per band;
-   classes that are still in different components but share a band are then compared in blocks. Estimates, corrected
+   classes that are still in different components but share a band are then compared in blocks, each pair of blocks once. Estimates, corrected
    for chance collisions of registers, drop pairs far below the threshold; full shingle sets confirm the rest.
 3. Components by alternating large-star and small-star steps.
 
@@ -31,9 +31,9 @@ WORDS = re.compile(r"[^ \t-\r]+")
 BAND, BANDS = 5, 48
 REGISTERS = BAND * BANDS
 MANTISSA = 10
-SMALL = 32  # bands of up to so many classes are joined with themselves; larger ones are compared in blocks
+SMALL = 8  # bands of up to so many classes are joined with themselves; larger ones are compared in blocks
 PART = 1 << 20  # bytes of text whose sketches are taken at once
-BLOCK = 512  # classes of a block when pairs are compared or confirmed
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19  # classes of a block when pairs are compared or confirmed, and their shingles
 
 
 def words(text: str | None) -> list[str]:
@@ -271,11 +271,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return dealt.groupBy("x", "y").cogroup(texts.groupBy("tx", "ty")).applyInPandas(checked, "a long, b long")
 
 
-def _apart(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs of classes in one band but in different components.
+def _apart(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that share a band, lie in different components and may be linked; all that matter for components.
 
-    members: (band, doc_id, component). In each band the largest component's classes are one side only: their links among
-    each other change nothing. Both sides of a large band are cut into blocks; there a pair counts in the first band it shares.
+    members: (band, doc_id, component). Bands within one component have nothing to add. Small open bands are joined with
+    themselves. For large ones, each class has a home, the largest band it is in, and homes are cut into blocks. Two blocks
+    that meet in a band, with a class outside the band's largest component, are one cell, compared once for all bands. A
+    cell checks estimates, then the sets of hashed shingles, and returns only links that join components: a forest.
     """
     sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     top = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("t"), F.sum("n").alias("size"))
@@ -283,35 +285,55 @@ def _apart(members: DataFrame, classes: DataFrame, threshold: float) -> DataFram
     few = members.join(open_bands.where(F.col("size") <= SMALL).select("band"), "band")
     other = few.select(F.col("band").alias("o_band"), F.col("doc_id").alias("o_id"), F.col("component").alias("o_part"))
     met = few.join(other, (F.col("band") == F.col("o_band")) & (F.col("doc_id") < F.col("o_id")) & (F.col("component") != F.col("o_part")))
-    pairs = _estimated(met.select(F.col("doc_id").alias("a"), F.col("o_id").alias("b")).distinct(), classes, threshold)
-    rows = members.join(open_bands.where(F.col("size") > SMALL), "band").join(classes.select("doc_id", "regs", "dense", "n_shingles"), "doc_id")
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)).cast("long")).withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("long"))
-    rest = rows.where("component <> top").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rest = rest.select("band", "b", F.col("chunk").alias("p"), F.col("other").alias("q"), "doc_id", "component", "regs", "dense", "n_shingles")
-    needed = rest.select(F.col("band").alias("f_band"), F.col("p").alias("f_p"), F.col("q").alias("f_q")).distinct()
-    facing = rows.select(F.col("band").alias("r_band"), "chunk", *(F.col(c).alias(c) for c in ("doc_id", "component", "regs", "dense", "n_shingles")))
-    facing = facing.join(needed, (F.col("r_band") == F.col("f_band")) & (F.col("chunk") == F.col("f_q")))
+    pairs = _estimated(met.select(F.col("doc_id").alias("a"), F.col("o_id").alias("b")).distinct(), classes, percent / 100)
+
+    many = members.join(open_bands.where(F.col("size") > SMALL), "band")
+    home = many.groupBy("doc_id", "component").agg(F.max(F.struct("size", "band")).alias("h")).select("doc_id", "component", F.col("h.band").alias("home"))
+    home = home.join(classes.select("doc_id", "n_shingles"), "doc_id")
+    held = home.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("chunks"))
+    home = home.join(held, "home").select("doc_id", "component", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).alias("block"))
+    in_band = many.join(home.select("doc_id", "block"), "doc_id").groupBy("band", "block").agg(F.max(F.col("component") != F.col("top")).alias("apart"))
+    facing = in_band.select(F.col("band").alias("o_band"), F.col("block").alias("q"), F.col("apart").alias("o_apart"))
+    cells = in_band.join(facing, (F.col("band") == F.col("o_band")) & (F.col("block") <= F.col("q")) & (F.col("apart") | F.col("o_apart"))).select(F.col("block").alias("p"), "q").distinct()
+    rows = home.join(classes.select("doc_id", "regs", "n_shingles"), "doc_id").join(texts, "doc_id")
+    left = cells.join(rows, F.col("p") == F.col("block")).drop("block")
+    right = cells.join(rows, F.col("q") == F.col("block")).select(F.col("p").alias("r_p"), F.col("q").alias("r_q"), *(F.col(c).alias(c) for c in ("doc_id", "component", "regs", "n_shingles", "text")))
 
     def compared(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        r, one = (np.frombuffer(b"".join(x["regs"]), "<u2").reshape(len(x), -1) for x in (right, left))
-        r_code, one_code = (_band_codes(x["dense"]) for x in (right, left))
-        ids, parts, n = (right[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
-        here, out = int(left["b"].iloc[0]), []
-        for k, (x, c, size) in enumerate(zip(left["doc_id"], left["component"], left["n_shingles"], strict=True)):
-            ok = np.flatnonzero(parts != c)
-            ok = ok[~(r_code[ok, :here] == one_code[k, :here]).any(axis=1)]  # each pair in the first band that it shares
-            ok = ok[likely(np.broadcast_to(one[k], (len(ok), r.shape[1])), r[ok], np.full(len(ok), size), n[ok], threshold)]
-            out += [(min(x, y), max(x, y)) for y in ids[ok]]
+        one, r = (np.frombuffer(b"".join(x["regs"]), "<u2").reshape(len(x), -1) for x in (left, right))
+        one_code, r_code = (_band_codes(densify(x)) for x in (one, r))
+        ids, n = right["doc_id"].to_numpy(), right["n_shingles"].to_numpy()
+        r_part, part = right["component"].to_numpy().copy(), left["component"].to_numpy().copy()
+        known, sets, out = _Words(), {}, []
+
+        def of(i, text):
+            if i not in sets:
+                sets[i] = hashes([text], width, known)[0]
+            return sets[i]
+
+        r_text = right["text"].tolist()
+        for k, (x, text, size) in enumerate(zip(left["doc_id"].tolist(), left["text"], left["n_shingles"].tolist(), strict=True)):
+            ok = np.flatnonzero(r_part != part[k])
+            ok = ok[(r_code[ok] == one_code[k]).any(axis=1)]
+            ok = ok[likely(np.broadcast_to(one[k], (len(ok), r.shape[1])), r[ok], np.full(len(ok), size), n[ok], percent / 100)]
+            for i in ok.tolist():
+                if r_part[i] != part[k]:
+                    p, q = of(x, text), of(ids[i], r_text[i])
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    if 100 * both >= percent * (len(p) + len(q) - both):
+                        out.append((min(x, int(ids[i])), max(x, int(ids[i]))))
+                        old, new = r_part[i], part[k]
+                        r_part[r_part == old], part[part == old] = new, new
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return rest.groupBy("band", "p", "q").cogroup(facing.groupBy("f_band", "f_p", "f_q")).applyInPandas(compared, "a long, b long").unionAll(pairs).distinct()
+    return left.groupBy("p", "q").cogroup(right.groupBy("r_p", "r_q")).applyInPandas(compared, "a long, b long").unionAll(pairs).distinct()
 
 
-def _band_codes(dense: pd.Series) -> np.ndarray:
+def _band_codes(dense: np.ndarray) -> np.ndarray:
     """One 64-bit number per row and band."""
-    values = np.frombuffer(b"".join(dense), "<u2").reshape(len(dense), BANDS, BAND).astype(np.uint64)
+    values = dense.reshape(len(dense), BANDS, BAND).astype(np.uint64)
     code = np.zeros(values.shape[:2], np.uint64)
     for k in range(BAND):
         code = _mix(code + values[:, :, k])
@@ -339,6 +361,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     involved = members.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("h")).join(involved, "doc_id", "left_semi")
     texts = scratch.write(texts.groupBy("doc_id").agg(F.min_by("text", "h").alias("text")), "texts")
+    scratch.settle()
 
     links = None
     for k, pivot in enumerate(("low", "high")):
@@ -348,8 +371,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         found = scratch.write(confirm(_estimated(pairs, classes, threshold), texts, width, percent), f"links{k}")
         links = found if links is None else links.unionAll(found)
         component = scratch.write(star_components(links, scratch, f"star{k}-"), f"component{k}")
-    grouped = members.select("band", "b", "doc_id").join(component, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    rest = _across(scratch.write(_apart(grouped, classes, threshold), "apart"), component)
+        scratch.settle()
+    grouped = members.select("band", "doc_id").join(component, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rest = _across(scratch.write(_apart(grouped, classes, texts, width, percent), "apart"), component)
+    scratch.settle()
     found = scratch.write(confirm(rest.select("a", "b"), texts, width, percent), "links2")
     component = scratch.write(star_components(links.unionAll(found), scratch, "star2-"), "component2")
     component = component.withColumnRenamed("doc_id", "low")

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import GROUP_BYTES, Scratch, shuffle_partitions, spread, text_bytes
 
 SHARDS = 8
+SHARD_ROWS = 1 << 17
 ROWS = 1 << 18  # suffix rows of one merge, but for the last anchor's
 NONE = np.iinfo(np.int64).max
 
@@ -120,6 +121,7 @@ def merge(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def smallest_owner(strings: list[bytes], owners: np.ndarray, span: int, shards: int = SHARDS) -> list[np.ndarray]:
     """For each string, by start: the smallest owner among strings that hold the same `span` bytes anywhere."""
+    shards = min(255, max(shards, sum(map(len, strings)) // SHARD_ROWS))  # a shard's sort holds up to 100 bytes a row
     deal = [list(range(k, len(strings), shards)) for k in range(min(shards, len(strings)))]
     parts = [Transform([strings[i] for i in part]) for part in deal]
     interleave, starts = merge(parts, span)
@@ -204,7 +206,7 @@ def _shared(occurrences: DataFrame, groups: int) -> DataFrame:
     return occurrences.groupBy("bucket").applyInPandas(shared, "g int, bucket int, grams binary")
 
 
-CONTEXTS = "bucket int, g int, doc_id binary, row binary, n binary, first binary, left binary, more binary, grams binary, bytes binary"
+CONTEXTS = "bucket int, g int, doc_id binary, row binary, n binary, first binary, which binary, more binary, grams binary, bytes binary"
 
 
 def _contexts(docs: DataFrame, shared: DataFrame, span: int, buckets: int) -> DataFrame:
@@ -221,27 +223,33 @@ def _contexts(docs: DataFrame, shared: DataFrame, span: int, buckets: int) -> Da
             key = (_bucket_of(grams, buckets).astype(np.uint64) << np.uint64(32)) | (grams >> np.uint64(32))
             i = np.flatnonzero(known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key)
             if len(i):
-                pieces.append((doc_id, row, grams[i], at[i], first[i], last[i], [raw[a : b + span] for a, b in zip(first[i].tolist(), last[i].tolist(), strict=True)]))
+                pieces.append((doc_id, row, grams[i], first[i], [raw[a : b + span] for a, b in zip(first[i].tolist(), last[i].tolist(), strict=True)]))
         if not pieces:
             return pd.DataFrame(columns=[c.split()[0] for c in CONTEXTS.split(", ")])
         owner = np.repeat(np.arange(len(pieces)), [len(p[2]) for p in pieces])
-        grams, at, first, last = (np.concatenate([p[k] for p in pieces]) for k in (2, 3, 4, 5))
-        strings = [s for p in pieces for s in p[6]]
+        grams, first = (np.concatenate([p[k] for p in pieces]) for k in (2, 3))
+        strings = [s for p in pieces for s in p[4]]
         ids, rows = np.array([p[0] for p in pieces], "<i8"), np.array([p[1] for p in pieces], "<i8")
         out = []
         for b, i in _sliced(_bucket_of(grams, buckets), buckets):
             docs_here, n = np.unique(owner[i], return_counts=True)
-            out.append((b, int(texts["g"].iloc[0]), ids[docs_here].tobytes(), rows[docs_here].tobytes(), n.astype("<i4").tobytes(), first[i].astype("<i4").tobytes(), (at - first)[i].astype(np.uint8).tobytes(),
-                        (last - first)[i].astype(np.uint8).tobytes(), grams[i].astype("<u8").tobytes(), _squeeze(b"".join(strings[x] for x in i.tolist()))))
+            once: dict[tuple[int, bytes], int] = {}  # equal contexts of the group travel once
+            which = np.fromiter((once.setdefault((g, strings[x]), len(once)) for g, x in zip(grams[i].tolist(), i.tolist(), strict=True)), "<i4", len(i))
+            more = np.array([len(s) - span for _, s in once], np.uint8)
+            out.append((b, int(texts["g"].iloc[0]), ids[docs_here].tobytes(), rows[docs_here].tobytes(), n.astype("<i4").tobytes(), first[i].astype("<i4").tobytes(), which.tobytes(),
+                        more.tobytes(), np.array([g for g, _ in once], "<u8").tobytes(), _squeeze(b"".join(s for _, s in once))))
         return pd.DataFrame(out, columns=[c.split()[0] for c in CONTEXTS.split(", ")])
 
     return docs.groupBy("g").cogroup(shared.groupBy("g")).applyInPandas(cut, CONTEXTS)
 
 
-def repeated_runs(grams: np.ndarray, strings: list[bytes], doc: np.ndarray, span: int, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(occurrence, from, to): runs of starts, within each context, whose span bytes a smaller doc also has."""
+def repeated_runs(grams: np.ndarray, strings: list[bytes], which: np.ndarray, doc: np.ndarray, span: int, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(occurrence, from, to): runs of starts, within each occurrence's context, whose span bytes a smaller doc also has.
+
+    A context is an anchor (grams) and a string; occurrence k is context which[k] in doc[k]. Contexts may be given twice.
+    """
     whole: dict[tuple[int, bytes], int] = {}
-    which = np.fromiter((whole.setdefault(x, len(whole)) for x in zip(grams.tolist(), strings, strict=True)), np.int64, len(strings))
+    which = np.fromiter((whole.setdefault(x, len(whole)) for x in zip(grams.tolist(), strings, strict=True)), np.int64, len(strings))[which]
     keys = list(whole)
     owner = np.full(len(keys), NONE)
     np.minimum.at(owner, which, doc)
@@ -266,7 +274,7 @@ def repeated_runs(grams: np.ndarray, strings: list[bytes], doc: np.ndarray, span
     if batch:
         flush()
     later = np.flatnonzero(doc > owner[which])  # another document has the whole context: all its strings go
-    out = [(later, np.zeros(len(later), np.int64), np.array([len(strings[i]) - span for i in later.tolist()], np.int64))]
+    out = [(later, np.zeros(len(later), np.int64), np.array([len(k[1]) - span for k in keys], np.int64)[which[later]])]
     for i in np.flatnonzero(doc == owner[which]).tolist():
         found = low[which[i]]
         if found is not None:
@@ -282,19 +290,20 @@ def _spans(contexts: DataFrame, span: int, groups: int) -> DataFrame:
     """Steps 3 and 4: per group of documents, the byte runs that smaller documents have."""
 
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, row, first, grams, strings, doc_of = [], [], [], [], [], []
+        ids, row, first, grams, strings, context, doc_of = [], [], [], [], [], [], []
         for r in rows.itertuples(index=False):
             more = np.frombuffer(r.more, np.uint8).astype(np.int64)
             n, raw = np.frombuffer(r.n, "<i4"), _expand(r.bytes)
             ends = np.cumsum(more + span)
+            context.append(np.frombuffer(r.which, "<i4").astype(np.int64) + len(strings))
             strings += [raw[a:b] for a, b in zip((ends - more - span).tolist(), ends.tolist(), strict=True)]
             doc_of.append(np.repeat(np.arange(len(n)), n) + sum(map(len, ids)))
             ids.append(np.frombuffer(r.doc_id, "<i8"))
             row.append(np.frombuffer(r.row, "<i8"))
             first.append(np.frombuffer(r.first, "<i4"))
             grams.append(np.frombuffer(r.grams, "<u8"))
-        ids, row, first, grams, doc_of = map(np.concatenate, (ids, row, first, grams, doc_of))
-        i, a, b = repeated_runs(grams, strings, ids[doc_of], span)
+        ids, row, first, grams, context, doc_of = map(np.concatenate, (ids, row, first, grams, context, doc_of))
+        i, a, b = repeated_runs(grams, strings, context, ids[doc_of], span)
         doc = doc_of[i]
         group = np.repeat(rows["g"].to_numpy(np.int64), [len(x) // 8 for x in rows["doc_id"]])[doc]
         start, end = first[i] + a, first[i] + b + span

@@ -9,16 +9,19 @@ trusted documents that were kept out of the counts, times a slack.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Scratch, shuffle_partitions, spread
+from lodestar.llm.common import GROUP_BYTES, Scratch, shuffle_partitions, spread, text_bytes
 
 ORDER = 4
 CALIBRATION = 5  # one in so many trusted documents sets thresholds instead of training
 QUANTILE, SLACK = 0.99, 1.3
+PART = 1 << 19  # grams sorted at a time
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -34,6 +37,29 @@ def grams(text: str | None) -> np.ndarray:
     return out.view(np.int64)
 
 
+def tally(texts: list[str | None], counted: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of all texts, ascending, and how often each occurs in the counted ones; PART grams are sorted at a time."""
+    found, held, size = [], [], 0
+
+    def flush():
+        each = np.concatenate([g for g, _ in held])
+        keys, inverse = np.unique(each, return_inverse=True)
+        found.append((keys, np.bincount(inverse, np.repeat([c for _, c in held], [len(g) for g, _ in held]), len(keys))))
+
+    for text, c in zip(texts, counted, strict=True):
+        held.append((grams(text), c))
+        size += len(held[-1][0])
+        if size >= PART:
+            flush()
+            held, size = [], 0
+    if held:
+        flush()
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, inverse = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return keys, np.bincount(inverse, np.concatenate([c for _, c in found]), len(keys)).astype(np.int64)
+
+
 def _suffix(column, order: int):
     """The last `order` units of a gram."""
     return column if order == ORDER else column.bitwiseAND(F.lit((1 << 16 * order) - 1))
@@ -94,7 +120,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
-    groups = 2 * shuffle_partitions(spark)
+    groups = max(2 * shuffle_partitions(spark), math.ceil(text_bytes(docs.select(F.col("text").cast("string").alias("text"))) / (2 * GROUP_BYTES)))
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")) if "lang" in docs.columns else F.lit("und")
     text = F.col("text").cast("string")
     group = F.when(F.col("doc_id").isNull(), spread(groups, text)).otherwise(spread(groups, F.col("doc_id").cast("long")))
@@ -106,12 +132,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
 
     def counted(texts: pd.DataFrame, ids: pd.DataFrame) -> pd.DataFrame:
         chosen = set(ids["t_id"].tolist())
-        each = [grams(t) for t in texts["text"]]
-        every = np.concatenate([*each, np.zeros(0, np.int64)])
-        mask = np.repeat(np.array([i in chosen for i in texts["doc_id"].tolist()], bool), [len(x) for x in each]) if len(texts) else np.zeros(0, bool)
-        keys, inverse = np.unique(every, return_inverse=True)
+        keys, counts = tally(texts["text"].tolist(), [i in chosen for i in texts["doc_id"].tolist()])
         part = texts["part"].iloc[0] if len(texts) else 0
-        return pd.DataFrame({"part": np.full(len(keys), part, np.int32), "g": keys, "c": np.bincount(inverse, mask, len(keys)).astype(np.int64)})
+        return pd.DataFrame({"part": np.full(len(keys), part, np.int32), "g": keys, "c": counts})
 
     seen = rows.select("doc_id", "text", "part").groupBy("part").cogroup(training.groupBy("t_part")).applyInPandas(counted, "part int, g long, c long")
     seen = scratch.write(seen, "seen")

@@ -81,8 +81,9 @@ TX = "SELECT item_id, substring(text, 1, {0}) AS x FROM benchmark"
 SUF = "SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY s) - 1 AS INTEGER) AS place, CAST(i - 1 AS INTEGER) AS start, s FROM (SELECT item_id, i, substring(x, i) AS s FROM ({0}), (SELECT unnest(range(1, 61)) AS i) WHERE i <= length(x))"
 
 
-def _texts(t, n):
-    return t.benchmark.select("item_id", F.substring("text", 1, n).alias("x"))
+def _texts(t, n=None):
+    """The whole texts, or their first n characters where a query's SQL cuts them."""
+    return t.benchmark.select("item_id", (F.substring("text", 1, n) if n else F.col("text")).alias("x"))
 
 
 @query(f"SELECT item_id, place, start FROM ({SUF.format(TX.format(40))})")
@@ -93,7 +94,7 @@ def suffix_order(t):
 LCP = "SELECT item_id, place, s, p, CAST(CASE WHEN p IS NULL THEN 0 ELSE (SELECT count(*) FROM range(1, 61) r(k) WHERE k <= least(length(s), length(p)) AND substring(s, 1, k) = substring(p, 1, k)) END AS INTEGER) AS lcp FROM (SELECT *, lag(s) OVER (PARTITION BY item_id ORDER BY place) AS p FROM ({0}))"
 
 
-def _lcp(t, n):
+def _lcp(t, n=None):
     s = text.suffixes(_texts(t, n), "item_id", "x")
     before = F.lag("suffix").over(W.partitionBy("item_id").orderBy("place"))
     return s.withColumn("p", before).withColumn("lcp", F.when(F.col("p").isNull(), 0).otherwise(text.common_prefix(F.col("suffix"), F.col("p"))))
@@ -106,10 +107,33 @@ def suffix_lcp(t):
 
 @query(f"SELECT item_id, lcp AS n, substring(s, 1, lcp) AS repeat FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY lcp DESC, place) AS r FROM ({LCP.format(SUF.format(TX.format(60)))})) WHERE r = 1")
 def longest_repeat(t):
-    best = _lcp(t, 60).groupBy("item_id").agg(F.max_by(F.struct("lcp", "suffix"), F.struct("lcp", -F.col("place"))).alias("b"))
+    return _longest(_lcp(t, 60))
+
+
+def _longest(lcp):
+    best = lcp.groupBy("item_id").agg(F.max_by(F.struct("lcp", "suffix"), F.struct("lcp", -F.col("place"))).alias("b"))
     return best.select("item_id", F.col("b.lcp").alias("n"), F.expr("substring(b.suffix, 1, b.lcp)").alias("repeat"))
 
 
+WHOLE = "SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY s) - 1 AS INTEGER) AS place, CAST(i - 1 AS INTEGER) AS start, s FROM (SELECT item_id, i, substring(text, i) AS s FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM benchmark))"
+WHOLE_LCP = f"SELECT item_id, place, s, CAST(CASE WHEN p IS NULL THEN 0 ELSE len(list_filter(range(1, least(length(s), length(p)) + 1), lambda k: substring(s, 1, k) = substring(p, 1, k))) END AS INTEGER) AS lcp FROM (SELECT *, lag(s) OVER (PARTITION BY item_id ORDER BY place) AS p FROM ({WHOLE}))"
+
+
+@query(f"SELECT item_id, place, start FROM ({WHOLE})")
+def suffix_order_whole(t):
+    return text.suffixes(_texts(t), "item_id", "x").select("item_id", "place", "start")
+
+
+@query(f"SELECT item_id, place, lcp FROM ({WHOLE_LCP})")
+def suffix_lcp_whole(t):
+    return _lcp(t).select("item_id", "place", "lcp")
+
+
+@query(f"SELECT item_id, lcp AS n, substring(s, 1, lcp) AS repeat FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY lcp DESC, place) AS r FROM ({WHOLE_LCP})) WHERE r = 1")
+def longest_repeat_whole(t):
+    return _longest(_lcp(t))
+
+
 OCC = "SELECT doc_id, list_filter(range(0, length(text) - 2), lambda i: substring(text, i + 1, 3) = 'ere') AS spots FROM documents"
 
 

@@ -24,7 +24,7 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def bfs_levels(edges: DataFrame, source: int) -> DataFrame:
     """(vertex, level): fewest edges from the source."""
-    frontier = edges.sparkSession.createDataFrame([(source, 0)], "vertex int, level int")
+    frontier = edges.sparkSession.createDataFrame([(source, 0)], f"vertex {edges.schema['dst'].dataType.simpleString()}, level int")
     seen = frontier
     while True:
         reached = edges.join(frontier, edges["src"] == frontier["vertex"]).select(F.col("dst").alias("vertex"), (F.col("level") + 1).alias("level")).distinct()

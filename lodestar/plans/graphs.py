@@ -22,13 +22,21 @@ def _vertices(t):
 
 @query(f"SELECT src, array_to_string(list_sort(list(dst)), ',') AS targets FROM ({EDGES}) GROUP BY src")
 def graph_neighbors(t):
-    return _edges(t).groupBy("src").agg(F.concat_ws(",", F.sort_array(F.collect_list("dst")).cast("array<string>")).alias("targets"))
+    return _neighbors(_edges(t))
+
+
+def _neighbors(e):
+    return e.groupBy("src").agg(F.concat_ws(",", F.sort_array(F.collect_list("dst")).cast("array<string>")).alias("targets"))
 
 
 @query(f"SELECT CAST(v AS INTEGER) AS id, count(dst) AS degree FROM range(506) r(v) LEFT JOIN ({EDGES}) ON src = v GROUP BY v")
 def graph_degree(t):
-    d = _edges(t).groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-    return _vertices(t).join(d, F.col("id") == F.col("src"), "left").select("id", F.coalesce("n", F.lit(0)).alias("degree"))
+    return _degree(_vertices(t), _edges(t))
+
+
+def _degree(vertices, e):
+    d = e.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    return vertices.join(d, F.col("id") == F.col("src"), "left").select("id", F.coalesce("n", F.lit(0)).alias("degree"))
 
 
 @query(f"SELECT src, dst FROM ({EDGES}) WHERE (dst, src) IN (SELECT (src, dst) FROM ({EDGES}))")
@@ -68,8 +76,9 @@ def graph_topo_levels(t):
 
 @query("SELECT true AS cyclic, false AS dag_cyclic")
 def graph_has_cycle(t):
-    ring = _dag(t).unionByName(t.spark.createDataFrame([(3, 1), (1, 3)], "src int, dst int"))
-    return t.spark.createDataFrame([(graph.topological_levels(ring)[1], graph.topological_levels(_dag(t))[1])], "cyclic boolean, dag_cyclic boolean")
+    e = _whole_edges(t)
+    back = e.agg(F.max_by(F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")), F.struct("src", "dst")).alias("b")).select("b.*")  # one edge
+    return t.spark.createDataFrame([(graph.topological_levels(e.unionByName(back))[1], graph.topological_levels(e)[1])], "cyclic boolean, dag_cyclic boolean")
 
 
 @query(f"WITH RECURSIVE e AS ({E_SQL.format(60)}), g AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), c AS (SELECT CAST(v AS INTEGER) AS vertex, CAST(v AS INTEGER) AS r FROM range(506) t(v) UNION SELECT vertex, dst FROM c JOIN g ON src = r), m AS (SELECT vertex, min(r) AS component FROM c GROUP BY vertex) SELECT vertex, component, count(*) OVER (PARTITION BY component) AS size FROM m")
@@ -77,6 +86,66 @@ def graph_components(t):
     return graph.components(_vertices(t), _edges(t, 60))
 
 
+# Every row of the tables, ids kept apart by their last two bits: customer 0 -> order 1 -> part 2 -> supplier 3.
+WHOLE_EDGES = "SELECT o_custkey * 4 AS src, o_orderkey * 4 + 1 AS dst FROM orders UNION SELECT l_orderkey * 4 + 1, l_partkey * 4 + 2 FROM lineitem UNION SELECT l_partkey * 4 + 2, l_suppkey * 4 + 3 FROM lineitem"
+WHOLE_VERTICES = "SELECT c_custkey * 4 AS id FROM customer UNION ALL SELECT o_orderkey * 4 + 1 FROM orders UNION ALL SELECT p_partkey * 4 + 2 FROM part UNION ALL SELECT s_suppkey * 4 + 3 FROM supplier"
+WHOLE_PROBES = "SELECT o_custkey * 4 AS src, (o_orderkey + 1) * 4 + 1 AS dst FROM orders"
+
+
+def _whole_edges(t):
+    o = t.orders.selectExpr("o_custkey * 4 as src", "o_orderkey * 4 + 1 as dst")
+    lp, ps = t.lineitem.selectExpr("l_orderkey * 4 + 1 as src", "l_partkey * 4 + 2 as dst"), t.lineitem.selectExpr("l_partkey * 4 + 2 as src", "l_suppkey * 4 + 3 as dst")
+    return o.union(lp).union(ps).distinct()
+
+
+def _whole_vertices(t):
+    c, o = t.customer.selectExpr("c_custkey * 4 as id"), t.orders.selectExpr("o_orderkey * 4 + 1 as id")
+    return c.union(o).union(t.part.selectExpr("p_partkey * 4 + 2 as id")).union(t.supplier.selectExpr("s_suppkey * 4 + 3 as id"))
+
+
+@query(f"SELECT src, array_to_string(list_sort(list(dst)), ',') AS targets FROM ({WHOLE_EDGES}) GROUP BY src")
+def graph_neighbors_whole(t):
+    return _neighbors(_whole_edges(t))
+
+
+@query(f"SELECT id, count(dst) AS degree FROM ({WHOLE_VERTICES}) LEFT JOIN ({WHOLE_EDGES}) ON src = id GROUP BY id")
+def graph_degree_whole(t):
+    return _degree(_whole_vertices(t), _whole_edges(t))
+
+
+@query(f"SELECT DISTINCT src, dst FROM ({WHOLE_PROBES}) WHERE (src, dst) IN (SELECT (src, dst) FROM ({WHOLE_EDGES}))")
+def graph_contains_edge_whole(t):
+    """Whether each customer also placed the order after each of theirs."""
+    probes = t.orders.selectExpr("o_custkey * 4 as src", "(o_orderkey + 1) * 4 + 1 as dst").distinct()
+    return probes.join(_whole_edges(t), ["src", "dst"], "left_semi")
+
+
+@query(f"SELECT dst AS src, src AS dst FROM ({WHOLE_EDGES})")
+def graph_reverse_whole(t):
+    return _whole_edges(t).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+@query(f"SELECT src, dst FROM ({WHOLE_EDGES}) ORDER BY src, dst")
+def graph_edges_whole(t):
+    return _whole_edges(t).orderBy("src", "dst")
+
+
+@query(f"WITH RECURSIVE e AS ({WHOLE_EDGES}), b AS (SELECT min(src) AS vertex, 0 AS level FROM e UNION SELECT dst, level + 1 FROM b JOIN e ON src = vertex) SELECT vertex, min(level) AS level FROM b GROUP BY vertex")
+def graph_bfs_levels_whole(t):
+    e = _whole_edges(t)
+    return graph.bfs_levels(e, e.agg(F.min("src")).first()[0])
+
+
+@query(f"WITH RECURSIVE e AS ({WHOLE_EDGES}), v AS (SELECT src AS vertex FROM e UNION SELECT dst FROM e), p AS (SELECT vertex, 0 AS level FROM v UNION SELECT dst, level + 1 FROM p JOIN e ON src = vertex) SELECT vertex, max(level) AS level FROM p GROUP BY vertex")
+def graph_topo_levels_whole(t):
+    return graph.topological_levels(_whole_edges(t))[0]
+
+
+@query()
+def graph_components_whole(t):
+    return graph.components(_whole_vertices(t), _whole_edges(t))
+
+
 TX = "SELECT item_id, substring(text, 1, {0}) AS x FROM benchmark"
 SUF = "SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY s) - 1 AS INTEGER) AS place, CAST(i - 1 AS INTEGER) AS start, s FROM (SELECT item_id, i, substring(x, i) AS s FROM ({0}), (SELECT unnest(range(1, 61)) AS i) WHERE i <= length(x))"
 

@@ -23,3 +23,51 @@ def test_suffixes_of_whole_texts(spark, tmp_path):
     assert {(r["item_id"], r["place"]): r["lcp"] for r in run(spark, tmp_path, "suffix_lcp_whole").collect()} == lcps
     assert {r["item_id"]: (r["n"], r["repeat"]) for r in run(spark, tmp_path, "longest_repeat_whole").collect()} == longest
     assert longest[1] == (19, "a repeat past sixty")
+
+
+def test_graphs_of_whole_tables(spark, tmp_path):
+    orders = [(k, 1 + k * k % 5) for k in range(40) if k % 20] + [(2000, 6), (2001, 6)]
+    lines = [(o, o % 7, o % 3 + 10 * (c == 6)) for o, c in orders if o % 4]
+    for name, rows, schema in (
+        ("orders", orders, "o_orderkey long, o_custkey long"), ("lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long"),
+        ("customer", [(k,) for k in range(1, 9)], "c_custkey long"), ("part", [(k,) for k in range(7)], "p_partkey long"), ("supplier", [(k,) for k in range(14)], "s_suppkey long"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    edges = {(c * 4, o * 4 + 1) for o, c in orders} | {(o * 4 + 1, p * 4 + 2) for o, p, _ in lines} | {(p * 4 + 2, s * 4 + 3) for _, p, s in lines}
+    ids = {c * 4 for c in range(1, 9)} | {o * 4 + 1 for o, _ in orders} | {p * 4 + 2 for p in range(7)} | {s * 4 + 3 for s in range(14)}
+
+    def got(name):
+        return run(spark, tmp_path, name).collect()
+
+    assert {(r["src"], r["dst"]) for r in got("graph_edges_whole")} == edges == {(r["dst"], r["src"]) for r in got("graph_reverse_whole")}
+    assert {r["id"]: r["degree"] for r in got("graph_degree_whole")} == {v: sum(a == v for a, _ in edges) for v in ids}
+    assert {(r["src"], tuple(map(int, r["targets"].split(",")))) for r in got("graph_neighbors_whole")} == {(v, tuple(sorted(b for a, b in edges if a == v))) for v, _ in edges}
+    probes = {(c * 4, (o + 1) * 4 + 1) for o, c in orders}
+    assert {(r["src"], r["dst"]) for r in got("graph_contains_edge_whole")} == probes & edges != set()
+    levels, level, front = {}, 0, {min(edges)[0]}
+    while front:
+        levels |= dict.fromkeys(front, level)
+        front, level = {b for a, b in edges if a in front} - set(levels), level + 1
+    assert {r["vertex"]: r["level"] for r in got("graph_bfs_levels_whole")} == levels
+    longest = {v: 0 for e in edges for v in e}
+    for _ in range(4):
+        for a, b in edges:
+            longest[b] = max(longest[b], longest[a] + 1)
+    assert {r["vertex"]: r["level"] for r in got("graph_topo_levels_whole")} == longest
+    label = {v: v for v in ids}
+    for _ in ids:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    sizes = {c: list(label.values()).count(c) for c in label.values()}
+    assert {(r["vertex"], r["component"], r["size"]) for r in got("graph_components_whole")} == {(v, c, sizes[c]) for v, c in label.items()}
+    assert len(sizes) > 2
+
+
+def test_cycles_are_sought_in_the_whole_graph(spark, monkeypatch):
+    from lodestar.operators import graph
+
+    seen, peel = [], graph.topological_levels
+    monkeypatch.setattr(graph, "topological_levels", lambda e: (seen.append(e.count()), peel(e))[1])
+    (row,) = run(spark, "/root/testdata/sf0.001", "graph_has_cycle").collect()
+    assert (row["cyclic"], row["dag_cyclic"]) == (True, False)
+    assert min(seen) >= run(spark, "/root/testdata/sf0.001", "graph_edges_whole").count()

@@ -232,6 +232,18 @@ def sort_doubles(t):
     return ranked(rows, "l_extendedprice", cols).select("l_extendedprice", "place")
 
 
+@query(f"SELECT {SEQ} FROM lineitem ORDER BY {SEQ}")
+def sort_ints_whole(t):
+    cols = SEQ.split(", ")
+    return t.lineitem.select(*cols).orderBy(*cols)
+
+
+@query(f"SELECT l_extendedprice, row_number() OVER (ORDER BY l_extendedprice, {SEQ}) - 1 AS place FROM lineitem")
+def sort_doubles_whole(t):
+    cols = SEQ.split(", ")
+    return ranked(t.lineitem.select(*cols), "l_extendedprice", cols).select("l_extendedprice", "place")
+
+
 def ranked(rows, key: str, ties: list[str], buckets: int = 64):
     """Global 0-based position by (key, ties): ranges of the key are ordered apart and offset by the counts before them."""
     bounds = rows.stat.approxQuantile(key, [k / buckets for k in range(1, buckets)], 0.005)

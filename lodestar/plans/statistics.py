@@ -246,21 +246,44 @@ def prefix_sum(t):
 RANGES = "SELECT r * 500 AS s, r * 500 + 700 AS e FROM range(0, 30) t(r)"
 
 
-def _range_fold(t, folds):
+def _ranges(t):
+    return t.spark.range(0, 30).select((F.col("id") * 500).alias("s"), (F.col("id") * 500 + 700).alias("e"))
+
+
+def _range_fold(t, ranges, folds):
     """Each query range joined with the chunks of positions it covers, then folded by its number."""
-    q = t.spark.range(0, 30).select((F.col("id") * 500).alias("s"), (F.col("id") * 500 + 700).alias("e")).withColumn("c", F.explode(F.sequence(F.expr("s div 256"), F.expr("(e - 1) div 256"))))
+    q = ranges.withColumn("c", F.explode(F.sequence(F.expr("s div 256"), F.expr("(e - 1) div 256"))))
     rows = t.orders.withColumn("c", F.expr("o_orderkey div 256"))
     return q.join(rows, "c").where("o_orderkey >= s and o_orderkey < e").groupBy("s", "e").agg(*folds)
 
 
 @query(f"SELECT s, e, round(sum(o_totalprice), 2) AS total FROM ({RANGES}) JOIN orders ON o_orderkey >= s AND o_orderkey < e GROUP BY s, e")
 def range_sum(t):
-    return _range_fold(t, [F.round(F.sum("o_totalprice"), 2).alias("total")])
+    return _range_fold(t, _ranges(t), [F.round(F.sum("o_totalprice"), 2).alias("total")])
 
 
 @query(f"SELECT s, e, min(o_custkey) AS low, max(o_custkey) AS high, bit_and(o_custkey) AS conj, bit_or(o_custkey) AS disj FROM ({RANGES}) JOIN orders ON o_orderkey >= s AND o_orderkey < e GROUP BY s, e")
 def segment_range_min_max_and_or(t):
-    return _range_fold(t, [F.min("o_custkey").alias("low"), F.max("o_custkey").alias("high"), F.bit_and("o_custkey").alias("conj"), F.bit_or("o_custkey").alias("disj")])
+    return _range_fold(t, _ranges(t), [F.min("o_custkey").alias("low"), F.max("o_custkey").alias("high"), F.bit_and("o_custkey").alias("conj"), F.bit_or("o_custkey").alias("disj")])
+
+
+WHOLE_RANGES = "SELECT r * 500 AS s, r * 500 + 700 AS e FROM (SELECT unnest(range((SELECT min(o_orderkey) // 500 FROM orders), (SELECT max(o_orderkey) // 500 + 1 FROM orders))) AS r)"
+
+
+def _whole_ranges(t):
+    """The same ranges over all the keys that the table has."""
+    ends = t.orders.agg(F.expr("min(o_orderkey) div 500").alias("first"), F.expr("max(o_orderkey) div 500").alias("last")).where("last is not null")
+    return ends.select(F.explode(F.sequence("first", "last")).alias("r")).selectExpr("r * 500 as s", "r * 500 + 700 as e")
+
+
+@query(f"SELECT s, e, round(sum(o_totalprice), 2) AS total FROM ({WHOLE_RANGES}) JOIN orders ON o_orderkey >= s AND o_orderkey < e GROUP BY s, e")
+def range_sum_whole(t):
+    return _range_fold(t, _whole_ranges(t), [F.round(F.sum("o_totalprice"), 2).alias("total")])
+
+
+@query(f"SELECT s, e, min(o_custkey) AS low, max(o_custkey) AS high, bit_and(o_custkey) AS conj, bit_or(o_custkey) AS disj FROM ({WHOLE_RANGES}) JOIN orders ON o_orderkey >= s AND o_orderkey < e GROUP BY s, e")
+def segment_range_min_max_and_or_whole(t):
+    return _range_fold(t, _whole_ranges(t), [F.min("o_custkey").alias("low"), F.max("o_custkey").alias("high"), F.bit_and("o_custkey").alias("conj"), F.bit_or("o_custkey").alias("disj")])
 
 
 @query("SELECT q.event_id, CAST(count(*) AS BIGINT) AS n, round(sum(u.value), 4) AS total FROM events q JOIN events u ON u.user_id = q.user_id AND u.event_id < q.event_id AND u.event_type = 'purchase' WHERE q.event_type = 'error' GROUP BY q.event_id")

@@ -63,6 +63,28 @@ def test_graphs_of_whole_tables(spark, tmp_path):
     assert len(sizes) > 2
 
 
+def test_sorts_and_ranges_of_whole_tables(spark, tmp_path):
+    rows = [(k * 37 % 20011, k % 4, k % 11, k % 5, float(k * 7919 % 101)) for k in range(600)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(r[0], r[2] + 1, r[4]) for r in rows], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    assert max(rows)[0] > 15_200
+    assert [tuple(r) for r in run(spark, tmp_path, "sort_ints_whole").collect()] == sorted(rows)
+    places = run(spark, tmp_path, "sort_doubles_whole").collect()
+    assert [r["l_extendedprice"] for r in sorted(places, key=lambda r: r["place"])] == sorted(r[4] for r in rows)
+    assert sorted(r["place"] for r in places) == list(range(len(rows)))
+    sums, bits = {}, {}
+    for s in range(0, 20_011, 500):
+        held = [r for r in rows if s <= r[0] < s + 700]
+        if held:
+            sums[s] = round(sum(r[4] for r in held), 2)
+            low, high, both, any_ = min(r[2] + 1 for r in held), max(r[2] + 1 for r in held), -1, 0
+            for r in held:
+                both, any_ = both & (r[2] + 1), any_ | (r[2] + 1)
+            bits[s] = (low, high, both, any_)
+    assert {r["s"]: r["total"] for r in run(spark, tmp_path, "range_sum_whole").collect()} == sums
+    assert {r["s"]: (r["low"], r["high"], r["conj"], r["disj"]) for r in run(spark, tmp_path, "segment_range_min_max_and_or_whole").collect()} == bits
+
+
 def test_cycles_are_sought_in_the_whole_graph(spark, monkeypatch):
     from lodestar.operators import graph
 

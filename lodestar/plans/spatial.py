@@ -19,27 +19,48 @@ def _intervals(t):
     return t.orders.select(F.col("o_orderkey").alias("id"), _day("o_orderdate").alias("s")).withColumn("e", F.col("s") + F.col("id") % 30)
 
 
-def _days(t):
-    return t.lineitem.where("l_orderkey % 50 = 0").select(_day("l_shipdate").alias("p")).distinct()
+def _days(t, rows="l_orderkey % 50 = 0"):
+    return t.lineitem.where(rows).select(_day("l_shipdate").alias("p")).distinct()
 
 
 @query(f"SELECT p, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM ({DAYS}) JOIN ({IV}) ON s <= p AND p < e AND s < e GROUP BY p")
 def interval_stab(t):
-    return joins.interval_stab(_intervals(t), _days(t), "s", "e", "p", 16).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+    return _stab(t, _days(t))
+
+
+def _stab(t, days):
+    return joins.interval_stab(_intervals(t), days, "s", "e", "p", 16).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
 
 
 @query(f"SELECT w, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT p AS w, p AS a, p + 7 AS b FROM ({DAYS})) JOIN ({IV}) ON s < b AND a < e AND s < e GROUP BY w")
 def interval_overlap(t):
-    windows = _days(t).select(F.col("p").alias("w"), F.col("p").alias("a"), (F.col("p") + 7).alias("b"))
+    return _overlap(t, _days(t))
+
+
+def _overlap(t, days):
+    windows = days.select(F.col("p").alias("w"), F.col("p").alias("a"), (F.col("p") + 7).alias("b"))
     return joins.interval_overlap(_intervals(t), windows, ("s", "e"), ("a", "b"), 16).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
 
 
+ALL_DAYS = "SELECT DISTINCT CAST(date_diff('day', TIMESTAMP '1970-01-01', l_shipdate) AS BIGINT) AS p FROM lineitem"
+
+
+@query(f"SELECT p, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM ({ALL_DAYS}) JOIN ({IV}) ON s <= p AND p < e AND s < e GROUP BY p")
+def interval_stab_whole(t):
+    return _stab(t, _days(t, "true"))
+
+
+@query(f"SELECT w, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT p AS w, p AS a, p + 7 AS b FROM ({ALL_DAYS})) JOIN ({IV}) ON s < b AND a < e AND s < e GROUP BY w")
+def interval_overlap_whole(t):
+    return _overlap(t, _days(t, "true"))
+
+
 ASOF = "SELECT c_custkey, (SELECT min(o_orderkey) FROM orders WHERE o_orderkey {0} c_custkey * 3 AND o_orderkey % 7 = 0) AS found FROM customer"
 
 
-def _successor(t, strict):
+def _successor(t, strict, rows="o_orderkey % 7 = 0"):
     probes = t.customer.select("c_custkey", (F.col("c_custkey") * 3).alias("p"))
-    return joins.successor(probes, t.orders.where("o_orderkey % 7 = 0"), "p", "o_orderkey", strict, 1000).select("c_custkey", "found")
+    return joins.successor(probes, t.orders.where(rows), "p", "o_orderkey", strict, 1000).select("c_custkey", "found")
 
 
 @query(ASOF.format(">="))
@@ -52,6 +73,19 @@ def asof_upper_bound(t):
     return _successor(t, True)
 
 
+ASOF_WHOLE = "SELECT c_custkey, (SELECT min(o_orderkey) FROM orders WHERE o_orderkey {0} c_custkey * 3) AS found FROM customer"
+
+
+@query(ASOF_WHOLE.format(">="))
+def asof_lower_bound_whole(t):
+    return _successor(t, False, "true")
+
+
+@query(ASOF_WHOLE.format(">"))
+def asof_upper_bound_whole(t):
+    return _successor(t, True, "true")
+
+
 PT = "SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part"
 QP = f"SELECT id AS q, x + 0.25 AS qx, y + 0.25 AS qy FROM ({PT}) WHERE id % 40 = 0"
 D2 = "(x - qx) * (x - qx) + (y - qy) * (y - qy)"
@@ -153,3 +187,23 @@ def prefix_join(t):
 @query(f"SELECT url, arg_max(prefix, length(prefix)) AS prefix FROM (SELECT DISTINCT url FROM pages), ({PFX}) WHERE starts_with(url, prefix) GROUP BY url")
 def longest_prefix_match(t):
     return joins.longest_prefix(t.pages.select("url").distinct(), _prefixes(t), "url", "prefix")
+
+
+ROUTES = "SELECT DISTINCT unnest(list_transform(range(3, len(p)), lambda n: array_to_string(p[1:n], '/') || '/')) AS prefix FROM (SELECT string_split(url, '/') AS p FROM pages)"
+
+
+def _routes(t):
+    """Every leading part of every page's url that ends in a slash, from the host's on."""
+    parts = t.pages.select(F.split("url", "/").alias("p")).where(F.size("p") > 3)
+    each = F.transform(F.sequence(F.lit(3), F.size("p") - 1), lambda n: F.concat(F.array_join(F.slice("p", F.lit(1), n), "/"), F.lit("/")))
+    return parts.select(F.explode(each).alias("prefix")).distinct()
+
+
+@query(f"SELECT page_id, prefix FROM pages, ({ROUTES}) WHERE starts_with(url, prefix)")
+def prefix_join_whole(t):
+    return joins.prefix_join(t.pages.select("page_id", "url"), _routes(t), "url", "prefix").select("page_id", "prefix")
+
+
+@query(f"SELECT url, arg_max(prefix, length(prefix)) AS prefix FROM (SELECT DISTINCT url FROM pages), ({ROUTES}) WHERE starts_with(url, prefix) GROUP BY url")
+def longest_prefix_match_whole(t):
+    return joins.longest_prefix(t.pages.select("url").distinct(), _routes(t), "url", "prefix")

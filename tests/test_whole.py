@@ -85,6 +85,34 @@ def test_sorts_and_ranges_of_whole_tables(spark, tmp_path):
     assert {r["s"]: (r["low"], r["high"], r["conj"], r["disj"]) for r in run(spark, tmp_path, "segment_range_min_max_and_or_whole").collect()} == bits
 
 
+def test_searches_in_whole_tables(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    keys, customers, first = [0, 1, 3, 4, 6, 8, 11, 13, 1500, 2990], [0, 1, 2, 3, 5, 400, 996, 997], datetime(2024, 1, 1)
+    urls = ["https://a.org/en/1", "https://a.org/en/long/and/deep/page", "https://a.org/en/long/and/other", "https://b.org", "https://b.org/x?u=1/2", "https://a.org/"]
+    starts, ships = {k: k % 23 for k in keys}, [(1, 5), (7, 9), (50, 12), (51, 14), (99, 300)]
+    for name, rows, schema in (
+        ("orders", [(k, first + timedelta(starts[k])) for k in keys], "o_orderkey long, o_orderdate timestamp"), ("customer", [(c,) for c in customers], "c_custkey long"),
+        ("pages", [(k, u) for k, u in enumerate(urls)], "page_id long, url string"), ("lineitem", [(k, first + timedelta(d)) for k, d in ships], "l_orderkey long, l_shipdate timestamp"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, reached in (("asof_lower_bound_whole", lambda k, p: k >= p), ("asof_upper_bound_whole", lambda k, p: k > p)):
+        assert {r["c_custkey"]: r["found"] for r in run(spark, tmp_path, name).collect()} == {c: min((k for k in keys if reached(k, c * 3)), default=None) for c in customers}
+    routes = {u[: i + 1] for u in urls for i in range(8, len(u)) if u[i] == "/"}
+    pairs = {(k, p) for k, u in enumerate(urls) for p in routes if u.startswith(p)}
+    assert {tuple(r) for r in run(spark, tmp_path, "prefix_join_whole").collect()} == pairs
+    assert {(r["url"], r["prefix"]) for r in run(spark, tmp_path, "longest_prefix_match_whole").collect()} == {(urls[k], max((p for j, p in pairs if j == k), key=len)) for k, _ in pairs}
+    day = (first - datetime(1970, 1, 1)).days
+    stabs, overlaps = {}, {}
+    for d in {d for _, d in ships}:
+        for found, width in ((stabs, 1), (overlaps, 7)):
+            ids = [k for k in keys if k % 30 and starts[k] < d + width and d < starts[k] + k % 30]
+            if ids:
+                found[day + d] = (len(ids), sum(ids))
+    assert {r["p"]: (r["n"], r["ids"]) for r in run(spark, tmp_path, "interval_stab_whole").collect()} == stabs
+    assert {r["w"]: (r["n"], r["ids"]) for r in run(spark, tmp_path, "interval_overlap_whole").collect()} == overlaps
+
+
 def test_cycles_are_sought_in_the_whole_graph(spark, monkeypatch):
     from lodestar.operators import graph
 

@@ -2,10 +2,12 @@
 
 1. Each document's distinct word shingles give REGISTERS registers, each the count of leading zeros and the next
    mantissa bits of the smallest hash in its bucket (16 bits in all). Documents with equal shingle sets share one class.
-2. Classes that agree in a band of registers are candidates. Two passes compare each class with one pivot per band;
-   classes that are still in different components but share a band are then compared in blocks, each pair of blocks once. Estimates, corrected
-   for chance collisions of registers, drop pairs far below the threshold; full shingle sets confirm the rest.
-3. Components by alternating large-star and small-star steps.
+2. Classes that agree in a band of registers are candidates. In small bands all classes are compared, in large ones each
+   with the band's first; what is then still in different components of a large band is compared in blocks, each pair of
+   blocks once. Estimates, corrected for chance collisions of registers, drop pairs far below the threshold; full shingle
+   sets confirm the rest.
+3. Components: edges are contracted to forests in chunks of bounded size, then by alternating large-star and small-star
+   steps until no chain is left.
 
 A pair at the threshold misses all bands with probability (1 - t**BAND)**(REGISTERS / BAND), 5e-9 at t = 0.8; a pair of small sets
 fills its empty registers from others, so the same holds for it. No bucket, group or number of partners is capped.
@@ -31,9 +33,11 @@ WORDS = re.compile(r"[^ \t-\r]+")
 BAND, BANDS = 5, 48
 REGISTERS = BAND * BANDS
 MANTISSA = 10
-SMALL = 8  # bands of up to so many classes are joined with themselves; larger ones are compared in blocks
+SMALL = 8  # bands of up to so many classes are compared pair by pair; larger ones with a pivot, then in blocks
 PART = 1 << 20  # bytes of text whose sketches are taken at once
-BLOCK, BLOCK_SHINGLES = 512, 1 << 19  # classes of a block when pairs are compared or confirmed, and their shingles
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19  # classes of a block when large bands are compared, and their shingles
+CELL = 1024  # pairs whose texts are confirmed together
+CHUNK = 1 << 20  # edges that one task contracts to a forest
 
 
 def words(text: str | None) -> list[str]:
@@ -164,7 +168,7 @@ def likely(a, b, na, nb, threshold: float) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the shingle set, the sketch, and the sketch with no register empty."""
+    """doc_id, row_hash, n_shingles, a 128-bit fingerprint of the shingle set, and the sketch, per row of `docs`."""
 
     def signed(batches):
         import xxhash
@@ -177,125 +181,179 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 to = max(at + 1, int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + PART, "right")))
                 sets = hashes(texts.slice(at, to - at).to_pylist(), width, known)
                 regs = sketches(sets)
-                dense = densify(regs)
-                some = [len(h) > 0 for h in sets]
                 set_id = [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets]
-                packed = [[x.tobytes() if ok else None for x, ok in zip(rows, some, strict=True)] for rows in (regs, dense)]
-                columns = [batch["doc_id"].slice(at, to - at), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(c, pa.binary()) for c in (set_id, *packed))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_id", "regs", "dense"])
+                packed = [x.tobytes() if len(h) else None for x, h in zip(regs, sets, strict=True)]
+                columns = [*(batch[c].slice(at, to - at) for c in ("doc_id", "row_hash")), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(c, pa.binary()) for c in (set_id, packed))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_hash", "n_shingles", "set_id", "regs"])
                 at = to
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(signed, "doc_id long, n_shingles long, set_id binary, regs binary, dense binary")
+    return docs.select("doc_id", "text", "row_hash").mapInArrow(signed, "doc_id long, row_hash long, n_shingles long, set_id binary, regs binary")
+
+
+def _rows_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), REGISTERS)
+
+
+def filled(classes: DataFrame) -> DataFrame:
+    """`classes` with the codes of all bands, 8 bytes each: of the sketch with no register empty."""
+
+    def dense(batches):
+        for batch in batches:
+            if batch.num_rows:
+                codes = _band_codes(densify(_rows_of(batch["regs"]))).astype("<u8")
+                yield batch.append_column("codes", pa.array([x.tobytes() for x in codes], pa.binary()))
+
+    return classes.mapInArrow(dense, "set_id binary, doc_id long, n_shingles long, regs binary, codes binary")
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(band, b, doc_id): one row per band; b is its number."""
-    size = 2 * BAND
-    each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("b"), F.substring(F.col("dense"), b * size + 1, F.lit(size)).alias("v"))))
-    return classes.select("doc_id", each.alias("x")).select(F.xxhash64("x.b", "x.v").alias("band"), F.col("x.b").alias("b"), "doc_id")
+    """(band, doc_id): one row per band of a class."""
+    each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("codes"), b * 8 + 1, F.lit(8)))))
+    return classes.select(each.alias("band"), "doc_id")
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vertex, smallest vertex reachable) for every vertex of the edges but the smallest ones themselves."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while True:
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[x] != label[y]
+        if not apart.any():
+            moved = np.flatnonzero(label != np.arange(len(ids)))
+            return ids[moved], ids[label[moved]]
+        x, y = x[apart], y[apart]
 
 
 def star_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(doc_id, component): the smallest id reachable from each end of an edge (a, b). Large-star, small-star to a fixed point.
+    """(doc_id, component): the smallest id reachable from each larger end of an edge (a, b); smallest ids are not listed.
 
-    Each step replaces a vertex's edges by as many others, so a hot vertex is a sum over tasks, never a list in one.
+    Edges are dealt into chunks of CHUNK, each contracted to stars in one task. Where a vertex is left in two stars, large-star
+    and small-star steps follow. A vertex's smallest neighbour is a partial aggregate, and it reaches the vertex's edges
+    through a join of two written tables, which the engine splits where a vertex is hot: never a list in one task.
     """
-    both = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    current, step = scratch.write(both, f"{name}0"), 0
-    state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    while state[0]:
+
+    def contracted(table: pa.Table) -> pa.Table:
+        a, b = forest(table["a"].to_numpy(), table["b"].to_numpy())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    first = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), f"{name}edges")
+    count = first.count()  # of the files' footers
+    dealt = first.withColumn("chunk", F.pmod(F.xxhash64("a"), F.lit(max(1, -(-count // CHUNK)))))
+    current, step = scratch.write(dealt.groupBy("chunk").applyInArrow(contracted, "a long, b long"), f"{name}0"), 0
+    scratch.drop(f"{name}edges")
+    while count and _chained(current):
         for large in (True, False):
-            if large:
-                sided = current.unionAll(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                low = sided.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-                moved = current.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
-                moved = moved.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            else:
-                low = current.groupBy("a").agg(F.min("b").alias("m"))
-                joined = current.join(low, "a")
-                moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
-            step += 1
-            after = scratch.write(moved.where("a <> b").distinct(), f"{name}{step}")
-            scratch.drop(f"{name}{step - 1}")
-            current = after
-        now = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    ends = current.select(F.col("a").alias("doc_id"), F.col("b").alias("component"))
-    return ends.unionAll(current.select(F.col("b").alias("doc_id"), F.col("b").alias("component"))).distinct()
+            sided = current.unionAll(current.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else current
+            low = scratch.write(sided.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.min("a")).alias("m")), f"{name}low{step}")
+            joined = sided.join(low, F.col("a") == F.col("v"))
+            if large:  # larger neighbours move to the smallest
+                moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            else:  # so do all smaller ones, and the vertex itself
+                moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select(F.col("v").alias("a"), F.col("m").alias("b")))
+            after = scratch.write(moved.where("a <> b").distinct(), f"{name}{step + 1}")
+            scratch.drop(f"{name}{step}", f"{name}low{step}")
+            current, step = after, step + 1
+    return current.select(F.col("a").alias("doc_id"), F.col("b").alias("component"))
+
+
+def _chained(stars: DataFrame) -> bool:
+    """Whether any vertex has two smaller neighbours, or one smaller and one larger."""
+    ends = stars.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("up")), F.struct(F.col("b").alias("v"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    return not ends.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum("up").alias("up")).where("up > 1 or up = 1 and n > 1").isEmpty()
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) that may reach the threshold, by their sketches."""
+    """Pairs (a, b, n) that may reach the threshold, by their sketches."""
     one = classes.select(F.col("doc_id").alias("a"), F.col("regs").alias("ra"), F.col("n_shingles").alias("na"))
     two = classes.select(F.col("doc_id").alias("b"), F.col("regs").alias("rb"), F.col("n_shingles").alias("nb"))
 
     def kept(batches):
         for batch in batches:
-            n = batch.num_rows
-            if n:
-                a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u2").reshape(n, -1) for c in ("ra", "rb"))
-                yield batch.select(["a", "b"]).filter(pa.array(likely(a, b, *(batch[c].to_numpy() for c in ("na", "nb")), threshold)))
+            if batch.num_rows:
+                ok = likely(_rows_of(batch["ra"]), _rows_of(batch["rb"]), *(batch[c].to_numpy() for c in ("na", "nb")), threshold)
+                yield batch.select(["a", "b", "n"]).filter(pa.array(ok))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(kept, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "ra", "rb", "na", "nb").mapInArrow(kept, "a long, b long, n long")
+
+
+class _Sets:
+    """The shingle sets of a cell's documents, taken when first asked for."""
+
+    def __init__(self, ids, texts, width: int, percent: int):
+        self.texts, self.sets = dict(zip(ids, texts, strict=True)), {}
+        self.width, self.percent = width, percent
+
+    def of(self, i: int) -> set[str]:
+        if i not in self.sets:
+            self.sets[i] = shingles(self.texts[i], self.width)
+        return self.sets[i]
+
+    def linked(self, a: int, b: int) -> bool:
+        p, q = self.of(a), self.of(b)
+        both = len(p & q)
+        return 100 * both >= self.percent * (len(p) + len(q) - both)
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets have 100 * intersection >= percent * union.
+    """A spanning forest, cell by cell, of the pairs (a, b, n) whose full shingle sets have 100 * intersection >= percent * union.
 
-    Ids are dealt into blocks; a cell (block of a, block of b) gets each text it needs once, however many pairs share it.
+    Pairs are dealt into cells by a; those of a band of n classes also by b, into as many cells as bound them. A cell gets each
+    text that it needs once, however many pairs share it.
     """
-    blocks = max(1, -(-docs.count() // BLOCK))
-    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(blocks)).alias("x"), F.pmod(F.xxhash64("b"), F.lit(blocks)).alias("y"))
+    cells = max(1, -(-pairs.count() // CELL))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(cells)).alias("x"), F.pmod(F.xxhash64("b", F.lit(3)), F.ceil(F.col("n") / CELL)).alias("y"))
     needed = dealt.select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = needed.join(docs, "doc_id").select("tx", "ty", "doc_id", "text")
+    texts = needed.join(docs.select("doc_id", "text"), "doc_id").select("tx", "ty", "doc_id", "text")
 
     def checked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        sets: dict[int, set[str]] = {}
-        text = dict(zip(right["doc_id"], right["text"], strict=True))
-
-        def of(i):
-            if i not in sets:
-                sets[i] = shingles(text[i], width)
-            return sets[i]
-
-        keep = []
-        for a, b in zip(left["a"], left["b"], strict=True):
-            p, q = of(a), of(b)
-            both = len(p & q)
-            if 100 * both >= percent * (len(p) + len(q) - both):
+        sets, of, keep = _Sets(right["doc_id"].tolist(), right["text"], width, percent), {}, []
+
+        def find(i):
+            while of.get(i, i) != i:
+                of[i] = of.get(of[i], of[i])
+                i = of[i]
+            return i
+
+        for a, b in zip(left["a"].tolist(), left["b"].tolist(), strict=True):
+            p, q = find(a), find(b)
+            if p != q and sets.linked(a, b):
+                of[max(p, q)] = min(p, q)
                 keep.append((a, b))
         return pd.DataFrame(keep, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("x", "y").cogroup(texts.groupBy("tx", "ty")).applyInPandas(checked, "a long, b long")
 
 
-def _apart(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that share a band, lie in different components and may be linked; all that matter for components.
+def _apart(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame | None:
+    """Pairs (a, b) that are linked, share a large band and lie in different components; all that matter for components.
 
-    members: (band, doc_id, component). Bands within one component have nothing to add. Small open bands are joined with
-    themselves. For large ones, each class has a home, the largest band it is in, and homes are cut into blocks. Two blocks
-    that meet in a band, with a class outside the band's largest component, are one cell, compared once for all bands. A
-    cell checks estimates, then the sets of hashed shingles, and returns only links that join components: a forest.
+    members: (band, doc_id, component) of large bands. Bands within one component have nothing to add. Each class has a home, the largest
+    band it is in, and homes are cut into blocks. Two blocks that meet in a band, with a class outside the band's largest
+    component, are one cell, compared once for all bands. A cell checks estimates, then the sets of hashed shingles, then
+    the sets themselves, and returns only links that join components: a forest.
     """
     sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     top = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("t"), F.sum("n").alias("size"))
-    open_bands = top.where("t.n < size").select("band", F.col("t.component").alias("top"), "size")
-    few = members.join(open_bands.where(F.col("size") <= SMALL).select("band"), "band")
-    other = few.select(F.col("band").alias("o_band"), F.col("doc_id").alias("o_id"), F.col("component").alias("o_part"))
-    met = few.join(other, (F.col("band") == F.col("o_band")) & (F.col("doc_id") < F.col("o_id")) & (F.col("component") != F.col("o_part")))
-    pairs = _estimated(met.select(F.col("doc_id").alias("a"), F.col("o_id").alias("b")).distinct(), classes, percent / 100)
-
-    many = members.join(open_bands.where(F.col("size") > SMALL), "band")
+    open_bands = scratch.write(top.where("t.n < size").select("band", F.col("t.component").alias("top"), "size"), "open")
+    if not open_bands.count():
+        return None
+    many = scratch.write(members.join(open_bands, "band"), "many")
     home = many.groupBy("doc_id", "component").agg(F.max(F.struct("size", "band")).alias("h")).select("doc_id", "component", F.col("h.band").alias("home"))
-    home = home.join(classes.select("doc_id", "n_shingles"), "doc_id")
+    home = scratch.write(home.join(classes.select("doc_id", "n_shingles"), "doc_id"), "home")
     held = home.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("chunks"))
-    home = home.join(held, "home").select("doc_id", "component", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).alias("block"))
+    home = home.join(scratch.write(held, "held"), "home").select("doc_id", "component", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).alias("block"))
+    home = scratch.write(home, "blocks")
     in_band = many.join(home.select("doc_id", "block"), "doc_id").groupBy("band", "block").agg(F.max(F.col("component") != F.col("top")).alias("apart"))
+    in_band = scratch.write(in_band, "in_band")
     facing = in_band.select(F.col("band").alias("o_band"), F.col("block").alias("q"), F.col("apart").alias("o_apart"))
     cells = in_band.join(facing, (F.col("band") == F.col("o_band")) & (F.col("block") <= F.col("q")) & (F.col("apart") | F.col("o_apart"))).select(F.col("block").alias("p"), "q").distinct()
-    rows = home.join(classes.select("doc_id", "regs", "n_shingles"), "doc_id").join(texts, "doc_id")
+    cells = scratch.write(cells, "cells")
+    rows = scratch.write(home.join(classes.select("doc_id", "regs", "n_shingles"), "doc_id").join(texts, "doc_id"), "apart_texts")
     left = cells.join(rows, F.col("p") == F.col("block")).drop("block")
     right = cells.join(rows, F.col("q") == F.col("block")).select(F.col("p").alias("r_p"), F.col("q").alias("r_q"), *(F.col(c).alias(c) for c in ("doc_id", "component", "regs", "n_shingles", "text")))
 
@@ -306,12 +364,13 @@ def _apart(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
         one_code, r_code = (_band_codes(densify(x)) for x in (one, r))
         ids, n = right["doc_id"].to_numpy(), right["n_shingles"].to_numpy()
         r_part, part = right["component"].to_numpy().copy(), left["component"].to_numpy().copy()
-        known, sets, out = _Words(), {}, []
+        known, hashed, out = _Words(), {}, []
+        exact = _Sets([*left["doc_id"].tolist(), *ids.tolist()], [*left["text"], *right["text"]], width, percent)
 
-        def of(i, text):
-            if i not in sets:
-                sets[i] = hashes([text], width, known)[0]
-            return sets[i]
+        def of(text):
+            if text not in hashed:
+                hashed[text] = hashes([text], width, known)[0]
+            return hashed[text]
 
         r_text = right["text"].tolist()
         for k, (x, text, size) in enumerate(zip(left["doc_id"].tolist(), left["text"], left["n_shingles"].tolist(), strict=True)):
@@ -320,15 +379,15 @@ def _apart(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
             ok = ok[likely(np.broadcast_to(one[k], (len(ok), r.shape[1])), r[ok], np.full(len(ok), size), n[ok], percent / 100)]
             for i in ok.tolist():
                 if r_part[i] != part[k]:
-                    p, q = of(x, text), of(ids[i], r_text[i])
+                    p, q = of(text), of(r_text[i])
                     both = len(np.intersect1d(p, q, assume_unique=True))
-                    if 100 * both >= percent * (len(p) + len(q) - both):
+                    if 100 * both >= percent * (len(p) + len(q) - both) and exact.linked(x, int(ids[i])):
                         out.append((min(x, int(ids[i])), max(x, int(ids[i]))))
                         old, new = r_part[i], part[k]
                         r_part[r_part == old], part[part == old] = new, new
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return left.groupBy("p", "q").cogroup(right.groupBy("r_p", "r_q")).applyInPandas(compared, "a long, b long").unionAll(pairs).distinct()
+    return left.groupBy("p", "q").cogroup(right.groupBy("r_p", "r_q")).applyInPandas(compared, "a long, b long")
 
 
 def _band_codes(dense: np.ndarray) -> np.ndarray:
@@ -340,58 +399,71 @@ def _band_codes(dense: np.ndarray) -> np.ndarray:
     return code
 
 
+def _numbered(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(n_id, doc_id, row_hash): a number for each distinct row with an id, ascending with the id."""
+    distinct = rows.where("doc_id is not null").select("doc_id", "row_hash").distinct()
+    ordered = distinct.repartitionByRange(shuffle_partitions(rows.sparkSession), "doc_id", "row_hash").sortWithinPartitions("doc_id", "row_hash")
+    # range partitions are in order, so are these numbers; written, so that they never change
+    return scratch.write(ordered.select(F.monotonically_increasing_id().alias("n_id"), F.col("doc_id").alias("i_id"), F.col("row_hash").alias("i_hash")), "numbers")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of `docs`.
+    """doc_id, n_shingles, component_id, kept, and row_hash to tell rows of one id apart, for every row of `docs`.
 
     Documents are linked with 100 * intersection >= percent * union of their distinct shingles of `width` words.
     Null, empty and blank texts have no shingles and are linked with nothing; shorter texts are one shingle. A row with a
     null doc_id keeps its n_shingles and has a null component and kept = true: it cannot be named as anyone's duplicate.
-    Repeated doc_ids are one document whose first text, in order, counts for links. An empty table gives no rows.
+    Rows that repeat a doc_id are documents of their own, each linked by its own text; component_id is the smallest doc_id
+    of the component, and kept says whether that is the row's. An empty table gives no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
-    threshold = percent / 100
+    scratch = Scratch(docs.sparkSession, "neardup")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_hash", F.xxhash64("text"))
+    if rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _grouped(rows, width, percent, scratch)
+    numbers = _numbered(rows, scratch)
+    named = rows.join(numbers, (F.col("doc_id") == F.col("i_id")) & (F.col("row_hash") == F.col("i_hash")), "left")
+    # equal rows of one id are one document here
+    found = _grouped(named.select(F.col("n_id").alias("doc_id"), "text", "row_hash").dropDuplicates(["doc_id", "row_hash"]), width, percent, scratch)
+    smallest = numbers.select(F.col("n_id").alias("s_id"), F.col("i_id").alias("smallest"))
+    found = found.select(F.col("doc_id").alias("f_id"), F.col("row_hash").alias("f_hash"), "n_shingles", F.col("component_id").alias("s_id")).join(smallest, "s_id", "left")
+    found = scratch.write(found.join(numbers, F.col("f_id") == F.col("n_id"), "left").select(F.col("i_id").alias("f_id"), "f_hash", "n_shingles", "smallest"), "found")
+    out = rows.select("doc_id", "row_hash").join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("row_hash") == F.col("f_hash")), "left")
+    return out.select("doc_id", "n_shingles", F.col("smallest").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("smallest"), F.lit(True)).alias("kept"), "row_hash")
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """near_duplicates() of rows (doc_id, text, row_hash) whose doc_ids are unique, but for null ones."""
+    texts = docs.select("doc_id", "text").where("doc_id is not null")
     signed = scratch.write(signatures(docs, width), "signed")
     sets = signed.where("set_id is not null and doc_id is not null")
-    labelled = sets.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    classes = scratch.write(sets.join(labelled, ["set_id", "doc_id"]).groupBy("doc_id").agg(F.first("regs").alias("regs"), F.first("dense").alias("dense"), F.first("n_shingles").alias("n_shingles")), "classes")
+    # a class of equal sets is known by its smallest doc_id
+    first = sets.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
+    classes = scratch.write(filled(first), "classes")
     every = bands(classes)
-    shared = every.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("n > 1")
-    members = scratch.write(every.join(shared.select("band", "low", "high"), "band"), "members")
-    involved = members.select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("h")).join(involved, "doc_id", "left_semi")
-    texts = scratch.write(texts.groupBy("doc_id").agg(F.min_by("text", "h").alias("text")), "texts")
+    shared = every.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")).where("n > 1")
+    members = scratch.write(every.join(scratch.write(shared, "shared"), "band"), "members")
+
+    # bounded lists: SMALL classes of a band at most
+    lists = members.where(F.col("n") <= SMALL).groupBy("band").agg(F.sort_array(F.collect_list("doc_id")).alias("l"))
+    within = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice(F.col("l"), i + 2, F.lit(SMALL)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    small = lists.select(F.explode(within).alias("p")).select("p.a", "p.b", F.lit(1).cast("long").alias("n"))
+    large = members.where((F.col("n") > SMALL) & (F.col("doc_id") != F.col("low"))).select(F.col("low").alias("a"), F.col("doc_id").alias("b"), "n")
+    pairs = small.unionAll(large).groupBy("a", "b").agg(F.max("n").alias("n"))
+    close = scratch.write(_estimated(pairs, classes, percent / 100), "close")
+    links = scratch.write(confirm(close, texts, width, percent), "links")
+    component = scratch.write(star_components(links, scratch, "star1-"), "component1")
     scratch.settle()
 
-    links = None
-    for k, pivot in enumerate(("low", "high")):
-        pairs = members.where(F.col("doc_id") != F.col(pivot)).select(F.least("doc_id", pivot).alias("a"), F.greatest("doc_id", pivot).alias("b")).distinct()
-        if links is not None:
-            pairs = _across(pairs, component).select("a", "b")
-        found = scratch.write(confirm(_estimated(pairs, classes, threshold), texts, width, percent), f"links{k}")
-        links = found if links is None else links.unionAll(found)
-        component = scratch.write(star_components(links, scratch, f"star{k}-"), f"component{k}")
-        scratch.settle()
-    grouped = members.select("band", "doc_id").join(component, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    rest = _across(scratch.write(_apart(grouped, classes, texts, width, percent), "apart"), component)
-    scratch.settle()
-    found = scratch.write(confirm(rest.select("a", "b"), texts, width, percent), "links2")
-    component = scratch.write(star_components(links.unionAll(found), scratch, "star2-"), "component2")
-    component = component.withColumnRenamed("doc_id", "low")
+    wide = members.where(F.col("n") > SMALL).select("band", "doc_id").join(component, "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    rest = _apart(wide, classes, texts, width, percent, scratch)
+    if rest is not None:
+        both = rest.unionAll(component.select(F.col("doc_id").alias("a"), F.col("component").alias("b")))
+        component = scratch.write(star_components(both, scratch, "star2-"), "component2")
+        scratch.drop("component1", "many", "home", "held", "blocks", "in_band", "cells", "apart_texts")
 
     # copies of a class follow its first document
-    low = labelled.withColumnRenamed("doc_id", "low")
-    of_set = low.join(component, "low", "left").select("set_id", F.coalesce("component", "low").alias("component_id"))
-    whole = signed.join(of_set, "set_id", "left")
-    component_id = F.coalesce("component_id", "doc_id")
-    out = whole.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
-    scratch.drop("members", "texts", "classes", "apart")
-    return out
-
-
-def _across(pairs: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components."""
-    one = component.select(F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-    two = component.select(F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-    joined = pairs.join(one, "a", "left").join(two, "b", "left")
-    return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    component_id = F.coalesce("component", "label")
+    of_set = classes.select("set_id", F.col("doc_id").alias("label")).join(component, F.col("label") == component["doc_id"], "left").select("set_id", component_id.alias("component_id"))
+    out = scratch.write(signed.join(scratch.write(of_set, "of_set"), "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "row_hash"), "out")
+    scratch.drop("signed", "classes", "shared", "members", "close", "links", "open", "of_set")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "row_hash")

@@ -70,7 +70,7 @@ def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.neardup import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80).drop("row_hash")
 
 
 OP8_SQL = """

@@ -37,6 +37,8 @@ SMALL = 8  # bands of up to so many classes are compared pair by pair; larger on
 PART = 1 << 20  # bytes of text whose sketches are taken at once
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19  # classes of a block when large bands are compared, and their shingles
 CELL = 1024  # pairs whose texts are confirmed together
+KNOWN = 1 << 20  # shingles in the sets that a cell keeps at a time
+FEW = 1 << 20  # so many ids at most are broadcast, to leave other documents' texts where they are
 CHUNK = 1 << 20  # edges that one task contracts to a forest
 
 
@@ -198,8 +200,9 @@ def filled(classes: DataFrame) -> DataFrame:
     """`classes` with the codes of all bands, 8 bytes each: of the sketch with no register empty."""
 
     def dense(batches):
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
                 codes = _band_codes(densify(_rows_of(batch["regs"]))).astype("<u8")
                 yield batch.append_column("codes", pa.array([x.tobytes() for x in codes], pa.binary()))
 
@@ -273,8 +276,9 @@ def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
     two = classes.select(F.col("doc_id").alias("b"), F.col("regs").alias("rb"), F.col("n_shingles").alias("nb"))
 
     def kept(batches):
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
                 ok = likely(_rows_of(batch["ra"]), _rows_of(batch["rb"]), *(batch[c].to_numpy() for c in ("na", "nb")), threshold)
                 yield batch.select(["a", "b", "n"]).filter(pa.array(ok))
 
@@ -282,16 +286,21 @@ def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
 
 
 class _Sets:
-    """The shingle sets of a cell's documents, taken when first asked for."""
+    """The shingle sets of a cell's documents, taken when asked for; those of up to KNOWN shingles are kept."""
 
     def __init__(self, ids, texts, width: int, percent: int):
-        self.texts, self.sets = dict(zip(ids, texts, strict=True)), {}
+        self.texts, self.sets, self.held = dict(zip(ids, texts, strict=True)), {}, 0
         self.width, self.percent = width, percent
 
     def of(self, i: int) -> set[str]:
-        if i not in self.sets:
-            self.sets[i] = shingles(self.texts[i], self.width)
-        return self.sets[i]
+        found = self.sets.get(i)
+        if found is None:
+            found = shingles(self.texts[i], self.width)
+            if self.held > KNOWN:
+                self.sets, self.held = {}, 0
+            self.sets[i] = found
+            self.held += len(found)
+        return found
 
     def linked(self, a: int, b: int) -> bool:
         p, q = self.of(a), self.of(b)
@@ -299,7 +308,12 @@ class _Sets:
         return 100 * both >= self.percent * (len(p) + len(q) - both)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that a written table of ids names. A short list goes to the documents, a long one meets them in a join."""
+    return docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", "left_semi")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """A spanning forest, cell by cell, of the pairs (a, b, n) whose full shingle sets have 100 * intersection >= percent * union.
 
     Pairs are dealt into cells by a; those of a band of n classes also by b, into as many cells as bound them. A cell gets each
@@ -308,7 +322,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     cells = max(1, -(-pairs.count() // CELL))
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(cells)).alias("x"), F.pmod(F.xxhash64("b", F.lit(3)), F.ceil(F.col("n") / CELL)).alias("y"))
     needed = dealt.select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = needed.join(docs.select("doc_id", "text"), "doc_id").select("tx", "ty", "doc_id", "text")
+    ids = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    texts = needed.join(_texts_of(ids, docs), "doc_id").select("tx", "ty", "doc_id", "text")
 
     def checked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         sets, of, keep = _Sets(right["doc_id"].tolist(), right["text"], width, percent), {}, []
@@ -353,7 +368,7 @@ def _apart(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
     facing = in_band.select(F.col("band").alias("o_band"), F.col("block").alias("q"), F.col("apart").alias("o_apart"))
     cells = in_band.join(facing, (F.col("band") == F.col("o_band")) & (F.col("block") <= F.col("q")) & (F.col("apart") | F.col("o_apart"))).select(F.col("block").alias("p"), "q").distinct()
     cells = scratch.write(cells, "cells")
-    rows = scratch.write(home.join(classes.select("doc_id", "regs", "n_shingles"), "doc_id").join(texts, "doc_id"), "apart_texts")
+    rows = scratch.write(home.join(classes.select("doc_id", "regs", "n_shingles"), "doc_id").join(_texts_of(home.select("doc_id"), texts), "doc_id"), "apart_texts")
     left = cells.join(rows, F.col("p") == F.col("block")).drop("block")
     right = cells.join(rows, F.col("q") == F.col("block")).select(F.col("p").alias("r_p"), F.col("q").alias("r_q"), *(F.col(c).alias(c) for c in ("doc_id", "component", "regs", "n_shingles", "text")))
 
@@ -364,13 +379,19 @@ def _apart(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
         one_code, r_code = (_band_codes(densify(x)) for x in (one, r))
         ids, n = right["doc_id"].to_numpy(), right["n_shingles"].to_numpy()
         r_part, part = right["component"].to_numpy().copy(), left["component"].to_numpy().copy()
-        known, hashed, out = _Words(), {}, []
+        known, hashed, held, out = _Words(), {}, 0, []
         exact = _Sets([*left["doc_id"].tolist(), *ids.tolist()], [*left["text"], *right["text"]], width, percent)
 
         def of(text):
-            if text not in hashed:
-                hashed[text] = hashes([text], width, known)[0]
-            return hashed[text]
+            nonlocal held
+            found = hashed.get(text)
+            if found is None:
+                if held > 2 * BLOCK_SHINGLES:
+                    hashed.clear()
+                    held = 0
+                hashed[text] = found = hashes([text], width, known)[0]
+                held += len(found)
+            return found
 
         r_text = right["text"].tolist()
         for k, (x, text, size) in enumerate(zip(left["doc_id"].tolist(), left["text"], left["n_shingles"].tolist(), strict=True)):
@@ -450,7 +471,7 @@ def _grouped(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> Dat
     large = members.where((F.col("n") > SMALL) & (F.col("doc_id") != F.col("low"))).select(F.col("low").alias("a"), F.col("doc_id").alias("b"), "n")
     pairs = small.unionAll(large).groupBy("a", "b").agg(F.max("n").alias("n"))
     close = scratch.write(_estimated(pairs, classes, percent / 100), "close")
-    links = scratch.write(confirm(close, texts, width, percent), "links")
+    links = scratch.write(confirm(close, texts, width, percent, scratch), "links")
     component = scratch.write(star_components(links, scratch, "star1-"), "component1")
     scratch.settle()
 
@@ -465,5 +486,5 @@ def _grouped(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> Dat
     component_id = F.coalesce("component", "label")
     of_set = classes.select("set_id", F.col("doc_id").alias("label")).join(component, F.col("label") == component["doc_id"], "left").select("set_id", component_id.alias("component_id"))
     out = scratch.write(signed.join(scratch.write(of_set, "of_set"), "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "row_hash"), "out")
-    scratch.drop("signed", "classes", "shared", "members", "close", "links", "open", "of_set")
+    scratch.drop("signed", "classes", "shared", "members", "close", "ids", "links", "open", "of_set")
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "row_hash")

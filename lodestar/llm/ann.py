@@ -1,13 +1,18 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is the sum of one word from each of several full-dimensional codebooks, trained on residuals of a bounded sample and
-refitted by least squares to beam-search codes. Every vector is indexed: codes by beam search, and the squared norm of
-its reconstruction. Queries score codes by table lookup, |x|^2 - 2 q.x, in cells of blocks; the best of each block are
-ranked again by exact distance on the original vectors.
+refitted by least squares to beam-search codes. Every vector x is indexed: codes by beam search, the squared norm of its
+reconstruction y and that of the residual r = x - y. Queries score codes by table lookup, in cells of blocks:
+|y|^2 - |r|^2 - 2 q.y + |q|^2 = |q - x|^2 + 2 (q - x).r. The best of a block are ranked again by exact distance on the
+original vectors, and after them every other vector that may still be nearer than the k-th of them: one with
+|q - x| < D has an error of at most 2 t D |r| in its score, where t bounds the cosine of q - x and r. The default for t is
+SIGMAS / sqrt(dimension), so many standard deviations of a random cosine; t = 1 makes the search exact. No depth is fixed.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,9 +22,10 @@ from pyspark.sql import functions as F
 from lodestar.llm import vectors
 from lodestar.llm.common import Scratch
 
-CODEBOOKS, WORDS, BEAM = 8, 256, 8
+CODEBOOKS, WORDS, BEAM = 16, 128, 8
 SAMPLE = 8192  # vectors that codebooks are trained on
-RERANK = 96  # best codes of each candidate block whose exact distances are taken
+RERANK = 32  # best codes of each candidate block whose exact distances are taken first
+SIGMAS = 4.0
 
 
 def _lloyd(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -80,8 +86,8 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM, batch: int = 512)
     return out
 
 
-def build_index(rows: DataFrame, books: np.ndarray, scratch: Scratch) -> DataFrame:
-    """Candidate blocks with codes and reconstruction norms of every vector."""
+def build_index(rows: DataFrame, total: int, books: np.ndarray, scratch: Scratch) -> DataFrame:
+    """Candidate blocks with codes, reconstruction norms and residual norms of every vector."""
     held = rows.sparkSession.sparkContext.broadcast(books)  # CODEBOOKS x WORDS vectors
 
     def coded(batches):
@@ -92,33 +98,64 @@ def build_index(rows: DataFrame, books: np.ndarray, scratch: Scratch) -> DataFra
                 x = vectors.matrix(one["c_values"][0].as_py(), one["c_n"][0].as_py())
                 codes = encode(x, books)
                 sums = sum(books[j][codes[:, j]] for j in range(len(books)))
-                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([codes.astype(np.uint8).tobytes()]), pa.array([(sums**2).sum(1).astype("<f4").tobytes()])], names=[*one.schema.names, "codes", "norms"])
-
-    packed = vectors.blocks(rows, vectors.block_count(rows, vectors.CANDIDATES), "c", F.col("embedding").cast("array<double>"))
-    return scratch.write(packed.mapInArrow(coded, "c_block int, c_ids binary, c_values binary, c_n int, codes binary, norms binary"), "index")
-
-
-def nearest(embeddings: DataFrame, queries: DataFrame | None = None, k: int = 10, every: int = 100, rerank: int = RERANK) -> DataFrame:
+                norms, rest = (((v**2).sum(1)).astype("<f8").tobytes() for v in (sums, x - sums))
+                yield pa.RecordBatch.from_arrays([*one.columns, *(pa.array([c], pa.binary()) for c in (codes.astype(np.uint8).tobytes(), norms, rest))], names=[*one.schema.names, "codes", "norms", "rest"])
+
+    packed = vectors.blocks(rows, vectors.block_count(total, vectors.CANDIDATES), "c", F.col("embedding").cast("array<double>"))
+    return scratch.write(packed.mapInArrow(coded, "c_block int, c_ids binary, c_values binary, c_n int, codes binary, norms binary, rest binary"), "index")
+
+
+def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, rest: np.ndarray, books: np.ndarray, k: int, rerank: int, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, vector ids, distances): the k nearest of one candidate block for each query, nearest first."""
+    tables = np.einsum("qd,mkd->mqk", q, books)
+    rough = np.repeat((norms - rest)[None, :], len(q), 0) + (q**2).sum(1)[:, None]
+    for m in range(len(books)):
+        rough -= 2 * tables[m][:, codes[:, m]]
+    rough[q_ids[:, None] == x_ids[None, :]] = np.inf
+    reach = 2 * t * np.sqrt(rest)
+    most = min(max(rerank, k), len(x))
+    first = np.argpartition(rough, most - 1, axis=1)[:, :most]
+    out = []
+    for i in range(len(q)):
+        at = first[i][np.isfinite(rough[i, first[i]])]
+        far = ((x[at] - q[i]) ** 2).sum(1)
+        if len(at) >= k:
+            near = np.sqrt(np.partition(far, k - 1)[k - 1])
+            more = rough[i] <= near * near * (1 + 1e-9) + near * reach  # the k-th distance found, and whatever may reach it
+            more[at] = False
+            more = np.flatnonzero(more)
+            at, far = np.concatenate([at, more]), np.concatenate([far, ((x[more] - q[i]) ** 2).sum(1)])
+        far = np.sqrt(far)
+        top = vectors.best(far, x_ids[at], k)
+        out.append((np.full(len(top), q_ids[i]), x_ids[at][top], far[top]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def nearest(embeddings: DataFrame, queries: DataFrame | None = None, k: int = 10, every: int = 100, rerank: int = RERANK, cosine: float | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found among all vectors but its own, by exact Euclidean distance.
 
-    Without `queries`, rows whose vec_id is divisible by `every` are the queries. Vectors that are null, zero or hold null or
-    non-finite components take no part, nor do rows without an id. Ties go to the smaller vec_id; copies of a vector
+    Without `queries`, rows whose vec_id is divisible by `every` are the queries. `cosine` is t above. Vectors that are null, zero or
+    hold null or non-finite components take no part, nor do rows without an id or vectors of another length than most.
+    Where ids repeat, one row stands for all (see vectors.prepared). Ties go to the smaller vec_id; copies of a vector
     under other ids are candidates like any other. Fewer candidates than k give fewer rows; empty tables give none.
     """
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "ann")
-    fine = embeddings.where(vectors.usable(zero=True) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    total = fine.count()
+    fine, total = vectors.prepared(embeddings, zero=True)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not total:
         return empty
     share = F.pmod(F.xxhash64("vec_id", F.lit(23)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / total))
-    sample = fine.where(share).select(F.col("embedding").cast("array<double>").alias("v")).collect()  # SAMPLE rows, within chance
+    sample = fine.where(share).select(F.col("embedding").cast("array<double>").alias("v")).collect()  # SAMPLE rows, within chance: ids are unique
     books = train(np.array([r["v"] for r in sample] or [fine.first()["embedding"]], np.float64))
-    index = build_index(fine, books, scratch)
-    asked = fine.where(F.col("vec_id") % every == 0) if queries is None else queries.where(vectors.usable(zero=True) & F.col("vec_id").isNotNull())
-    packed = scratch.write(vectors.blocks(asked, vectors.block_count(asked, vectors.QUERIES), "q", F.col("embedding").cast("array<double>")), "queries")
-    held = spark.sparkContext.broadcast(books.astype(np.float32))
+    index = build_index(fine, total, books, scratch)
+    if queries is None:
+        asked = fine.where(F.col("vec_id") % every == 0)
+    else:
+        asked = vectors.prepared(queries, zero=True)[0].where(F.size("embedding") == books.shape[2])
+    packed = scratch.write(vectors.blocks(asked, vectors.block_count(asked.count(), vectors.QUERIES), "q", F.col("embedding").cast("array<double>")), "queries")
+    held = spark.sparkContext.broadcast(books)
+    t = min(1.0, SIGMAS / math.sqrt(books.shape[2])) if cosine is None else cosine
 
     def searched(batches):
         books = held.value
@@ -128,23 +165,12 @@ def nearest(embeddings: DataFrame, queries: DataFrame | None = None, k: int = 10
                 q, x = vectors.matrix(one["q_values"], one["q_n"]), vectors.matrix(one["c_values"], one["c_n"])
                 q_ids, x_ids = vectors.ids(one["q_ids"]), vectors.ids(one["c_ids"])
                 codes = np.frombuffer(one["codes"], np.uint8).reshape(len(x), -1)
-                norms = np.frombuffer(one["norms"], "<f4")
-                tables = np.einsum("qd,mkd->mqk", q.astype(np.float32), books)
-                rough = np.repeat(norms[None, :], len(q), 0)
-                for m in range(len(books)):
-                    rough -= 2 * tables[m][:, codes[:, m]]
-                out = []
-                most = min(rerank, len(x))
-                cuts = np.partition(rough, most - 1, axis=1)[:, most - 1]
-                for i in range(len(q)):
-                    at = np.flatnonzero(rough[i] <= cuts[i])  # all ties at the cut, so that copies go by id
-                    at = at[x_ids[at] != q_ids[i]]
-                    far = np.sqrt(((x[at] - q[i]) ** 2).sum(1))
-                    top = vectors.best(far, x_ids[at], k)
-                    out.append((np.full(len(top), q_ids[i]), x_ids[at][top], far[top]))
-                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
-
-    found = vectors.cells(packed, index).mapInArrow(searched, "query_id long, vec_id long, score double")
+                norms, rest = (np.frombuffer(one[c], "<f8") for c in ("norms", "rest"))
+                for at in range(0, len(q), vectors.AT_ONCE):
+                    part = slice(at, at + vectors.AT_ONCE)
+                    found = search(q[part], q_ids[part], x, x_ids, codes, norms, rest, books, k, rerank, t)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
+
+    found = vectors.cells(packed, index, vectors.block_count(total, vectors.CANDIDATES)).mapInArrow(searched, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,15 +1,17 @@
 """Exact top-k inner products by the three-phase uniform threshold method.
 
-Dimensions are dealt into LISTS lists; a list knows only its own part of every score. 1. Each list gathers its best k
-vectors per query; the exact totals of these give a safe cutoff, a lower bound of the k-th best total. 2. With the cutoff
-sent along with the queries, each list returns every vector whose part reaches cutoff / LISTS: a vector that reaches it in no list cannot
-reach the cutoff in total. 3. The returned vectors' totals are resolved exactly.
+Dimensions are dealt into LISTS lists; a list knows only its own part of every score. 1. In PROBES candidate blocks, each
+list gathers its best k vectors per query; the exact totals of these give a safe cutoff, a lower bound of the k-th best total.
+2. The cutoffs are sent along with the queries. In every block each list collects all vectors whose part reaches cutoff / LISTS:
+a vector that reaches it in no list cannot reach the cutoff in total. A list whose largest norm rules that out for a query is
+not multiplied with it. 3. The collected vectors' totals are resolved exactly, and those that reach the cutoff compete.
 
-Lists and queries are in blocks; what passes between phases is packed positions in (query block, candidate block) cells.
+Lists and queries are in blocks, worked on in (query block, candidate block) cells; no cell's products are kept.
 """
 
 from __future__ import annotations
 
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,7 +22,9 @@ from lodestar.llm import vectors
 from lodestar.llm.common import Scratch
 
 LISTS = 2
+PROBES = 8  # candidate blocks that the cutoffs come from
 EXACT = float(1 << 53)
+NONE = np.iinfo(np.int64).min
 
 
 def scaled() -> Column:
@@ -28,11 +32,16 @@ def scaled() -> Column:
     return F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * 256.0).cast("double"))
 
 
+def in_range() -> Column:
+    """Whether every product with another such vector stays within 64 bits."""
+    return F.forall(F.col("embedding"), lambda x: F.abs(x.cast("double")) * 256 + 1 <= F.sqrt(F.lit(2.0**63 - 2.0**11) / F.size("embedding")))
+
+
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in float64 while sums stay below 2**53, in int64 beyond."""
+    """Exact integer inner products as int64: through float64 while sums stay below 2**53."""
     if q.size and x.size and np.abs(q).max() * np.abs(x).max() * q.shape[1] >= EXACT:
         return q.astype(np.int64) @ x.astype(np.int64).T
-    return q @ x.T
+    return (q @ x.T).astype(np.int64)
 
 
 def _pairs(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -48,87 +57,90 @@ def _part(x: np.ndarray, part: int) -> np.ndarray:
     return x[:, part::LISTS]
 
 
-def _resolve(cells: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """Exact totals of the packed pairs of each cell; its k best per query: query_id, vec_id, score."""
-    grouped = pairs.groupBy("p_block", "r_block").agg(F.collect_list("pairs").alias("pairs"))  # at most LISTS rows each
+def gathered(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): for each query, the k vectors of each list's best parts, itself left out."""
+    own, seen = q_ids[:, None] == x_ids[None, :], np.zeros((len(q), len(x)), bool)
+    most = min(k, len(x))
+    for part in range(LISTS):
+        score = products(_part(q, part), _part(x, part))
+        score[own] = NONE
+        np.put_along_axis(seen, np.argpartition(score, len(x) - most, axis=1)[:, len(x) - most :], True, axis=1)
+    return np.nonzero(seen & ~own)
+
+
+def collected(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): for each query, every vector but its own whose part in some list reaches the query's share of the cutoff."""
+    seen = np.zeros((len(q), len(x)), bool)
+    share = np.where(cutoff == NONE, NONE, -(-cutoff // LISTS))  # whole parts: at least cutoff / LISTS, rounded up
+    for part in range(LISTS):
+        a, b = _part(q, part), _part(x, part)
+        longest = np.sqrt((b**2).sum(1).max()) if len(b) else 0.0
+        may = np.flatnonzero(np.sqrt((a**2).sum(1)) * longest * (1 + 1e-9) + 1 >= share.astype(np.float64))
+        seen[may] |= products(a[may], b) >= share[may, None]
+    seen[q_ids[:, None] == x_ids[None, :]] = False
+    return np.nonzero(seen)
 
-    def resolved(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                one = {c: batch[c][row].as_py() for c in batch.schema.names}
-                q, x = vectors.matrix(one["q_values"], one["q_n"]), vectors.matrix(one["c_values"], one["c_n"])
-                q_ids, x_ids = vectors.ids(one["q_ids"]), vectors.ids(one["c_ids"])
-                packed = np.unique(np.concatenate([np.frombuffer(p, "<u4") for p in one["pairs"]]))
-                i, j = (packed >> 16).astype(np.int64), (packed & 0xFFFF).astype(np.int64)
-                total = _pairs(q, x, i, j)
-                order = np.lexsort((x_ids[j], -total, i))
-                i, j, total = i[order], j[order], total[order]
-                place = np.arange(len(i)) - np.searchsorted(i, i)
-                top = place < k
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i[top]]), pa.array(x_ids[j[top]]), pa.array(total[top])], names=["query_id", "vec_id", "score"])
 
-    both = cells.join(grouped, (F.col("q_block") == F.col("p_block")) & (F.col("c_block") == F.col("r_block"))).drop("p_block", "r_block")
-    return both.mapInArrow(resolved, "query_id long, vec_id long, score long")
+def _best(i: np.ndarray, j: np.ndarray, total: np.ndarray, x_ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of each query's k highest totals, ties to the smaller id."""
+    order = np.lexsort((x_ids[j], -total, i))
+    place = np.arange(len(i)) - np.searchsorted(i[order], i[order])
+    return order[place < k]
 
 
-def _listed(cells: DataFrame, k: int, cutoffs: bool) -> DataFrame:
-    """For each cell and list, packed positions: of the k best parts per query, or of all parts that reach the query's share."""
+def _searched(cells: DataFrame, k: int, cutoffs: bool) -> DataFrame:
+    """query_id, vec_id, score: each cell's k best exact totals per query, among gathered or collected vectors."""
 
-    def listed(batches):
+    def searched(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 one = {c: batch[c][row].as_py() for c in batch.schema.names}
                 q, x = vectors.matrix(one["q_values"], one["q_n"]), vectors.matrix(one["c_values"], one["c_n"])
                 q_ids, x_ids = vectors.ids(one["q_ids"]), vectors.ids(one["c_ids"])
-                own = q_ids[:, None] == x_ids[None, :]
-                share = np.frombuffer(one["cutoffs"], "<f8") / LISTS if cutoffs else None
-                out = []
-                for part in range(LISTS):
-                    score = products(_part(q, part), _part(x, part)).astype(np.float64)
-                    score[own] = -np.inf
+                cut = np.frombuffer(one["cutoffs"], "<i8") if cutoffs else None
+                for at in range(0, len(q), vectors.AT_ONCE):
+                    part = slice(at, at + vectors.AT_ONCE)
+                    i, j = collected(q[part], q_ids[part], x, x_ids, cut[part]) if cutoffs else gathered(q[part], q_ids[part], x, x_ids, k)
+                    total = _pairs(q[part], x, i, j)
                     if cutoffs:
-                        hit = (score >= share[:, None]) & ~own
-                    else:
-                        most = min(k, len(x))
-                        hit = (score >= -np.partition(-score, most - 1, axis=1)[:, most - 1 : most]) & ~own
-                        hit &= hit.cumsum(axis=1) <= 4 * k  # ties beyond: any k of the best parts give a safe cutoff
-                    i, j = np.nonzero(hit)
-                    out.append(((i.astype(np.uint32) << np.uint32(16)) | j.astype(np.uint32)).astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([one["q_block"]] * LISTS, pa.int32()), pa.array([one["c_block"]] * LISTS, pa.int32()), pa.array(out, pa.binary())], names=["p_block", "r_block", "pairs"])
+                        reach = total >= cut[part][i]
+                        i, j, total = i[reach], j[reach], total[reach]
+                    top = _best(i, j, total, x_ids, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q_ids[part][i[top]], x_ids[j[top]], total[top])], names=["query_id", "vec_id", "score"])
 
-    return cells.mapInArrow(listed, "p_block int, r_block int, pairs binary")
+    return cells.mapInArrow(searched, "query_id long, vec_id long, score long")
 
 
 def top_products(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query with all rows but its own.
 
     Queries are the rows whose vec_id is divisible by `every`. Components become floor(256 * x). Vectors that are null or
-    hold null or non-finite components take no part, nor do rows without an id; zero vectors do. Ties go to the smaller vec_id.
-    Fewer candidates than k give fewer rows; an empty table gives none.
+    hold null or non-finite components take no part, nor do rows without an id, vectors of another length than most, and
+    vectors with a component so large that a product may leave 64 bits (see in_range); zero vectors do take part. Where ids
+    repeat, one row stands for all (see vectors.prepared). Ties go to the smaller vec_id. Fewer candidates than k give
+    fewer rows; an empty table gives none.
     """
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "topk")
-    fine = embeddings.where(vectors.usable(zero=False) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    candidates = scratch.write(vectors.blocks(fine, vectors.block_count(fine, vectors.CANDIDATES), "c", scaled()), "candidates")
+    fine, total = vectors.prepared(embeddings.where(F.coalesce(in_range(), F.lit(False))), zero=False)
+    n = vectors.block_count(total, vectors.CANDIDATES)
+    candidates = scratch.write(vectors.blocks(fine, n, "c", scaled()), "candidates")
     asked = fine.where(F.col("vec_id") % every == 0)
-    query_blocks = vectors.block_count(asked, vectors.QUERIES)
+    query_blocks = vectors.block_count(asked.count(), vectors.QUERIES)
     queries = scratch.write(vectors.blocks(asked, query_blocks, "q", scaled()), "queries")
-    grid = vectors.cells(queries, candidates)
 
-    first = _resolve(grid, scratch.write(_listed(grid, k, False), "first"), k)
+    probes = min(n, PROBES)
+    first = _searched(vectors.cells(queries, candidates.where(F.col("c_block") < probes), probes), k, False)
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    kth = first.withColumn("place", place).where(F.col("place") == k).select("query_id", F.col("score").cast("double").alias("cutoff"))
-    kth = scratch.write(kth, "cutoffs")
+    kth = first.withColumn("place", place).where(F.col("place") == k).select("query_id", F.col("score").alias("cutoff"))
+    kth = kth.withColumn("k_block", vectors.spread(query_blocks, "query_id"))
 
-    # the cutoffs travel in their query blocks; a query with fewer than k candidates takes all of them
+    # the cutoffs travel in their query blocks; a query that met fewer than k candidates has none yet and takes all
     def attached(table: pa.Table, cut: pa.Table) -> pa.Table:
         known = dict(zip(cut["query_id"].to_pylist(), cut["cutoff"].to_pylist(), strict=True))
-        cuts = [np.array([known.get(int(i), -np.inf) for i in vectors.ids(x)], "<f8").tobytes() for x in table["q_ids"].to_pylist()]
+        cuts = [np.array([known.get(i, NONE) for i in vectors.ids(x).tolist()], "<i8").tobytes() for x in table["q_ids"].to_pylist()]
         return table.append_column("cutoffs", pa.array(cuts, pa.binary()))
 
-    of_block = kth.withColumn("k_block", vectors.spread(query_blocks, "query_id"))
-    with_cuts = queries.groupBy("q_block").cogroup(of_block.groupBy("k_block")).applyInArrow(attached, "q_block int, q_ids binary, q_values binary, q_n int, cutoffs binary")
-    with_cuts = scratch.write(with_cuts, "cut_queries")
-    second = scratch.write(_listed(vectors.cells(with_cuts, candidates), k, True), "second")
-    last = _resolve(grid, second, k)
+    with_cuts = queries.groupBy("q_block").cogroup(kth.groupBy("k_block")).applyInArrow(attached, "q_block int, q_ids binary, q_values binary, q_n int, cutoffs binary")
+    last = _searched(vectors.cells(scratch.write(with_cuts, "cut_queries"), candidates, n), k, True)
     return last.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

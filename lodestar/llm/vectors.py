@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import spread
 
 CANDIDATES = 4096  # vectors of a candidate block
-QUERIES = 256  # of a query block
+QUERIES = 2048  # of a query block
+AT_ONCE = 256  # queries whose scores with a candidate block are held at a time
 
 
 def usable(zero: bool) -> Column:
@@ -26,12 +27,31 @@ def usable(zero: bool) -> Column:
     return F.coalesce(x.isNotNull() & (F.size(x) > 0) & fine & some, F.lit(False))
 
 
-def block_count(rows: DataFrame, size: int) -> int:
-    return max(1, math.ceil(rows.count() / size))
+def prepared(embeddings: DataFrame, zero: bool) -> tuple[DataFrame, int]:
+    """(vec_id, embedding) of the rows that take part, and their number: usable vectors with an id, of the table's usual length.
+
+    The usual length is the most frequent one among them, the larger of equally frequent ones. Where ids repeat, the
+    smallest vector of an id, by its components in order, stands for all its rows.
+    """
+    rows = embeddings.where(usable(zero) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    size = F.size("embedding").alias("size")
+    usual = rows.groupBy(size).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("size")).first()
+    if usual is None:
+        return rows, 0
+    rows = rows.where(F.size("embedding") == usual["size"])
+    repeated = rows.groupBy("vec_id").count().where("count > 1")
+    if repeated.isEmpty():
+        return rows, usual["n"]
+    rows = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return rows, rows.count()
+
+
+def block_count(rows: int, size: int) -> int:
+    return max(1, math.ceil(rows / size))
 
 
 def blocks(rows: DataFrame, n: int, prefix: str, values: Column) -> DataFrame:
-    """n blocks, by a hash of the id: (<prefix>_block, <prefix>_ids, <prefix>_values, <prefix>_n): little-endian int64 ids in ascending order and float64 values."""
+    """n blocks of rows with unique ids, by a hash of the id: (<prefix>_block, <prefix>_ids, <prefix>_values, <prefix>_n): little-endian int64 ids in ascending order and float64 values."""
 
     def packed(table: pa.Table) -> pa.Table:
         ids = table["vec_id"].to_numpy()
@@ -44,10 +64,9 @@ def blocks(rows: DataFrame, n: int, prefix: str, values: Column) -> DataFrame:
     return chosen.groupBy("b").applyInArrow(packed, f"{prefix}_block int, {prefix}_ids binary, {prefix}_values binary, {prefix}_n int")
 
 
-def cells(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Every query block beside every candidate block, joined on the candidate block's number."""
-    numbers = candidates.select("c_block").agg(F.collect_list("c_block").alias("all"))  # one number per block
-    dealt = queries.select("*", F.explode(F.lit(numbers.first()["all"] or []).cast("array<int>")).alias("at"))
+def cells(queries: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
+    """Every query block beside each of the n candidate blocks, joined on the candidate block's number."""
+    dealt = queries.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("at"))
     return dealt.join(candidates, F.col("at") == F.col("c_block")).drop("at")
 
 

@@ -1,6 +1,8 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from lodestar.llm import ann, topk
+from lodestar.llm import ann, topk, vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rank int, score double"
 
@@ -10,29 +12,65 @@ def table(spark, n=700, d=16, seed=0):
     x = rng.normal(size=(n, d)).astype(np.float32)
     x[300:350] = x[299]  # copies: ties go to smaller ids
     rows = [(i * 10, [float(v) for v in x[i]], 1, 2, 3.0) for i in range(n)]
-    bad = [(50001, None), (50050, [0.0] * d), (50100, [float("nan")] * d), (50200, [float("inf")] + [1.0] * (d - 1)), (50300, [None] + [1.0] * (d - 1)), (None, [1.0] * d)]
+    bad = [(50001, None), (50050, [0.0] * d), (50100, [float("nan")] * d), (50200, [float("inf")] + [1.0] * (d - 1)), (50300, [None] + [1.0] * (d - 1)), (None, [1.0] * d),
+           (50400, [1.0] * (d - 1)), (50500, [1.0] * (d + 1)), (50600, []), (50700, [])]
     return x, spark.createDataFrame(rows + [(i, v, None, None, None) for i, v in bad], SCHEMA).repartition(3)
 
 
-def test_nearest_against_brute_force(spark):
-    x, df = table(spark)
-    got = {}
-    for r in ann.nearest(df, k=10, every=100).collect():
+def true_nearest(x, ids, q, k):
+    far = np.sqrt(((x - x[q]) ** 2).sum(1))
+    far[q] = np.inf
+    return ids[np.lexsort((ids, far))[:k]].tolist()
+
+
+def recall(rows, x, ids, every, k=10):
+    got, hits, place = {}, 0, {int(v): n for n, v in enumerate(ids)}
+    for r in rows:
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
-    ids = np.arange(len(x)) * 10
-    assert sorted(got) == [i for i in ids if i % 100 == 0]
-    hits = 0
+    assert sorted(got) == sorted(i for i in ids.tolist() if i % every == 0)
     for q, found in got.items():
-        assert sorted(found) == list(range(1, 11))
-        far = np.sqrt(((x.astype(np.float64) - x[q // 10].astype(np.float64)) ** 2).sum(1))
-        far[q // 10] = np.inf
-        want = ids[np.lexsort((ids, far))[:10]]
-        hits += len({v for v, _ in found.values()} & set(want.tolist()))
-        assert all(np.isclose(s, far[v // 10], rtol=1e-12) for v, s in found.values())
-        assert [s for _, s in (found[k] for k in range(1, 11))] == sorted(s for _, s in found.values())
-    assert hits >= 0.9 * 10 * len(got)
-    assert ann.nearest(df.limit(0)).count() == 0
-    assert ann.nearest(df.where("vec_id in (0, 100, 10)"), k=10).count() == 4
+        assert sorted(found) == list(range(1, k + 1))
+        pairs = [found[n] for n in range(1, k + 1)]
+        assert pairs == sorted(pairs, key=lambda p: (p[1], p[0])) and q not in [v for v, _ in pairs]
+        far = np.sqrt(((x - x[place[q]]) ** 2).sum(1))
+        assert all(np.isclose(s, far[place[v]], rtol=1e-12) for v, s in pairs)
+        hits += len({v for v, _ in pairs} & set(true_nearest(x, ids, place[q], k)))
+    return hits / (k * len(got))
+
+
+@pytest.mark.parametrize("d", [16, 64, 200])
+def test_nearest_against_brute_force(spark, monkeypatch, d):
+    monkeypatch.setattr(vectors, "CANDIDATES", 256)
+    monkeypatch.setattr(vectors, "QUERIES", 16)
+    x, df = table(spark, d=d)
+    ids = np.arange(len(x)) * 10
+    assert recall(ann.nearest(df, k=10, every=100).collect(), x.astype(np.float64), ids, 100) >= 0.99
+    if d == 16:
+        assert recall(ann.nearest(df, k=10, every=100, rerank=1, cosine=1.0).collect(), x.astype(np.float64), ids, 100) == 1
+        assert ann.nearest(df.limit(0)).count() == 0
+        assert ann.nearest(df.where("vec_id in (0, 100, 10)"), k=10).count() == 4
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_registered_table(spark, sf):
+    """Random unit vectors, where quantisation helps least; no two are near."""
+    from lodestar.llm.queries import op5_additive_quantisation
+
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x, ids = np.array([r["embedding"] for r in rows], np.float64), np.array([r["vec_id"] for r in rows])
+    assert recall(op5_additive_quantisation(spark, f"/root/testdata/{sf}").collect(), x, ids, 100) >= 0.98
+
+
+def test_the_bound_keeps_all_that_may_be_nearer():
+    """With t = 1 the search is exact however bad the codes are."""
+    rng = np.random.default_rng(2)
+    x, ids = rng.normal(size=(500, 8)), np.arange(500)
+    books = rng.normal(size=(2, 3, 8))
+    codes = rng.integers(0, 3, (500, 2))
+    y = sum(books[j][codes[:, j]] for j in range(2))
+    got = ann.search(x[:40], ids[:40], x, ids, codes, (y**2).sum(1), ((x - y) ** 2).sum(1), books, 5, 5, 1.0)
+    for q in range(40):
+        assert got[1][got[0] == q].tolist() == true_nearest(x, ids, q, 5)
 
 
 def test_beam_codes_beat_greedy_ones():
@@ -46,27 +84,54 @@ def test_beam_codes_beat_greedy_ones():
     assert error(8) < error(1)
 
 
-def test_top_products_are_exact(spark, monkeypatch):
-    from lodestar.llm import vectors
+def brute_products(y, ids, every, k):
+    want = set()
+    for q in np.flatnonzero(ids % every == 0):
+        s = y @ y[q]
+        order = [i for i in np.lexsort((ids, -s)) if i != q][:k]
+        want |= {(int(ids[q]), n + 1, int(ids[i]), int(s[i])) for n, i in enumerate(order)}
+    return want
+
 
+def test_top_products_are_exact(spark, monkeypatch):
     monkeypatch.setattr(vectors, "CANDIDATES", 128)
-    monkeypatch.setattr(vectors, "QUERIES", 4)
-    for big in (1.0, 1e9):
+    monkeypatch.setattr(vectors, "QUERIES", 8)
+    for scale, probes in ((1.0, 1), (1e4, 2), (2e5, 8)):  # the last ones' sums pass 2**53
+        monkeypatch.setattr(topk, "PROBES", probes)
         x, df = table(spark, seed=3)
-        if big > 1:
-            from pyspark.sql import functions as F
-
-            df = df.withColumn("embedding", F.transform("embedding", lambda v: (v * 1e4).cast("float")))
-            x = x * np.float32(1e4)
+        df = df.withColumn("embedding", F.transform("embedding", lambda v: (v * scale).cast("float")))
+        x = x * np.float32(scale)
         y = np.floor(256 * x.astype(np.float64)).astype(np.int64)
         y = np.vstack([y, np.zeros((1, y.shape[1]), np.int64)])
         ids = np.append(np.arange(len(x)) * 10, 50050)
-        want = set()
-        for q in np.flatnonzero(ids % 50 == 0):
-            s = y @ y[q]
-            order = [i for i in np.lexsort((ids, -s)) if i != q][:5]
-            want |= {(int(ids[q]), k + 1, int(ids[i]), int(s[i])) for k, i in enumerate(order)}
         got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_products(df).collect()}
-        assert got == want
+        assert got == brute_products(y, ids, 50, 5)
     assert topk.top_products(df.limit(0)).count() == 0
     assert topk.top_products(df.where("vec_id in (0, 50, 10)")).count() == 4
+
+
+def test_ties_at_the_cutoff_and_negative_scores(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CANDIDATES", 16)
+    rng = np.random.default_rng(5)
+    x = -np.abs(rng.integers(0, 2, (120, 4))).astype(np.float32)
+    x[::2] *= -1
+    df = spark.createDataFrame([(i * 5, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {tuple(r) for r in topk.top_products(df).collect()}
+    assert got == brute_products(np.floor(256 * x.astype(np.float64)).astype(np.int64), np.arange(120) * 5, 50, 5)
+
+
+def test_repeated_and_hot_ids(spark, monkeypatch):
+    """All rows of one vec_id are one row, however many: the smallest vector."""
+    monkeypatch.setattr(vectors, "CANDIDATES", 64)
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(200)]
+    hot = spark.range(70000).select(F.lit(7).cast("long").alias("vec_id"), F.array(F.lit(9.0), F.lit(9.0), F.col("id").cast("double") + 9.0).cast("array<float>").alias("embedding"))
+    df = spark.createDataFrame([r for r in rows if r[0] != 7], "vec_id long, embedding array<float>").unionAll(hot)
+    x = np.array([[9.0, 9.0, 9.0] if i == 7 else v for i, v in rows])
+    ids = np.arange(200)
+    assert {tuple(r) for r in topk.top_products(df).collect()} == brute_products((256 * x).astype(np.int64), ids, 50, 5)
+    assert recall(ann.nearest(df, k=3).collect(), x, ids, 100, 3) == 1
+
+
+def test_vectors_beyond_64_bits_take_no_part(spark):
+    df = spark.createDataFrame([(0, [1.0, 1.0]), (50, [3e30, 1.0]), (1, [2.0, 0.0]), (2, [-3e38, 1.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in topk.top_products(df).collect()] == [(0, 1, 1, 2 * 256 * 256)]

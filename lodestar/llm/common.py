@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import math
 import os
 import tempfile
@@ -35,14 +34,16 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").mode("overwrite").parquet(self.path(name))
+        """Write and reread; the shuffle files of this one execution go as soon as it has ended, since nothing rereads them."""
+        conf, key = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(key, "false")
+        conf.set(key, "true")
+        try:
+            df.write.option("compression", "zstd").mode("overwrite").parquet(self.path(name))
+        finally:
+            conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def settle(self) -> None:
-        """Let Spark remove the shuffle files of jobs that nothing refers to any more, before the next ones are written."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:

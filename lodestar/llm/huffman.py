@@ -22,6 +22,7 @@ from lodestar.llm.tokens import byte_bpe
 LIMIT = 20  # longest code in bits; the decoding table has 2**LIMIT entries
 CHECK = 256  # ids between checkpoints
 BLOCK_IDS = 1 << 18  # ids of a block, but for one more document
+STRIDE = 4096  # parts whose offsets one window row stands for
 
 RAW = "part int, block int, doc_ids binary, has_id binary, counts binary, n_ids long, ids binary"
 CODED = "part int, block int, doc_ids binary, has_id binary, counts binary, n_ids long, checks binary, bits binary"
@@ -254,9 +255,13 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     rows = blocks.mapInArrow(decoded, f"part int, block int, doc_id long, local long, n_tokens long, ids_crc32 long{extra}")
     index = blocks.select("part", "block", "n_ids")
     within = F.coalesce(F.sum("n_ids").over(W.partitionBy("part").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = index.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row per partition of the files
-    bases = index.select("part", "block", within.alias("within")).join(parts.select("part", before.alias("before")), "part")
+    # offsets of parts in two levels: within STRIDE parts side by side, and over the strides' totals in one short window
+    parts = index.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("stride", F.floor(F.col("part") / STRIDE))
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("stride").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    above = F.coalesce(F.sum("m").over(W.orderBy("stride").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    strides = parts.groupBy("stride").agg(F.sum("n").alias("m")).select("stride", above.alias("above"))
+    before = parts.withColumn("inside", inside).join(strides, "stride").select("part", (F.col("above") + F.col("inside")).alias("before"))
+    bases = index.select("part", "block", within.alias("within")).join(before, "part")
     out = rows.join(bases, ["part", "block"])
     return out.select("doc_id", (F.col("before") + F.col("within") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 

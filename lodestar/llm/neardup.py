@@ -473,7 +473,6 @@ def _grouped(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> Dat
     close = scratch.write(_estimated(pairs, classes, percent / 100), "close")
     links = scratch.write(confirm(close, texts, width, percent, scratch), "links")
     component = scratch.write(star_components(links, scratch, "star1-"), "component1")
-    scratch.settle()
 
     wide = members.where(F.col("n") > SMALL).select("band", "doc_id").join(component, "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     rest = _apart(wide, classes, texts, width, percent, scratch)

@@ -138,7 +138,6 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
 
     seen = rows.select("doc_id", "text", "part").groupBy("part").cogroup(training.groupBy("t_part")).applyInPandas(counted, "part int, g long, c long")
     seen = scratch.write(seen, "seen")
-    scratch.settle()
     tables = counts_by_order(seen.where("c > 0").select("g", "c"), scratch)
     if tables[ORDER].isEmpty():
         return rows.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"), F.xxhash64("text").alias("row_hash"))
@@ -157,7 +156,6 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
 
     scores = rows.withColumn("row_hash", F.xxhash64("text")).groupBy("part").cogroup(returned.groupBy("k_part"))
     scores = scratch.write(scores.applyInPandas(scored, "doc_id long, lang string, row_hash long, perplexity double"), "scores")
-    scratch.settle()
     scratch.drop("seen", "known", *(f"count{k}" for k in tables))
     calibration = scores.join(trusted.where(calibrates), "doc_id", "left_semi").where("perplexity is not null")
     cut = F.percentile_approx("perplexity", F.lit(float(quantile)), F.lit(10000)) * slack

@@ -337,11 +337,9 @@ def repeats(docs: DataFrame, span: int = 50, keep_text: bool = False) -> DataFra
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"), spread(groups, F.col("doc_id").cast("long"), F.xxhash64(text)).alias("g"))
     with_id = keyed.where("doc_id is not null").where(F.octet_length("text") >= span)
     shared = scratch.write(_shared(_occurrences(with_id.select("text", "g"), span, buckets, groups), groups), "shared")
-    scratch.settle()
     contexts = _contexts(with_id, shared, span, buckets)
     found = scratch.write(_spans(contexts, span, groups), "spans")
     scratch.drop("shared")
-    scratch.settle()
     # names of their own for the helper columns, whatever columns `docs` has
     g, row = (next(f"{c}{'_' * k}" for k in range(99) if f"{c}{'_' * k}" not in docs.columns) for c in ("_g", "_row"))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")] if keep_text else []

@@ -22,11 +22,23 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+LONG = ["a" + c * 1_000_100 + end for c in ("\n", " ", "\t ") for end in ("b", "")] + ["x" * 400_000 + " " * 140_000 + "<|endoftext|>  y", "\u2003" * 300_000 + "!"]
+
+
 def test_ids_equal_the_library():
-    for text in ODD:
+    for text in [*ODD, *LONG]:
         assert [*byte_bpe(PATH).ids(text), 2] == expected(text)
 
 
+def test_long_white_space_in_both_operators(spark):
+    docs = spark.createDataFrame(list(enumerate(LONG[:2])), "doc_id long, text string")
+    want = {i: expected(t) for i, t in enumerate(LONG[:2])}
+    for r in packing.pack(docs, PATH).collect():
+        assert r["ids_crc32"] == crc(want[r["doc_id"]][r["start"] : r["start"] + r["length"]])
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in huffman.round_trip(docs, PATH).collect()}
+    assert got == {i: (len(x), crc(x)) for i, x in want.items()}
+
+
 @pytest.mark.parametrize("capacity", [3, 10, 100, 1024])
 def test_histogram_packing_is_whole_and_near_the_bound(capacity):
     rng = random.Random(capacity)
@@ -60,10 +72,11 @@ def test_pack_documents(spark, odd):
             assert at == end
             end += n
         assert end <= 1024
-    texts = {r["doc_id"]: r["text"] for r in odd.collect() if r["doc_id"] not in (3, None)}
-    for r in rows:
-        if r["doc_id"] in texts:
-            assert r["ids_crc32"] == crc(expected(texts[r["doc_id"]])[r["start"] : r["start"] + r["length"]])
+    want = collections.Counter()
+    for r in odd.collect():
+        ids = expected(r["text"])
+        want.update((r["doc_id"], k, at, n, crc(ids[at : at + n])) for k, (at, n) in enumerate(packing.cut(len(ids), 1024)))
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
     assert packing.pack(odd.limit(0), PATH).count() == 0
 
 
@@ -98,8 +111,6 @@ def test_files_round_trip(spark, odd, tmp_path):
     for r in rows:
         assert r["start"] == at and r["n_tokens"] * 4 == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(r["ids"])
         at += r["n_tokens"]
-    texts = {r["doc_id"]: r["text"] for r in odd.collect() if r["doc_id"] not in (3, None)}
-    for r in rows:
-        if r["doc_id"] in texts:
-            assert np.frombuffer(r["ids"], "<u4").tolist() == expected(texts[r["doc_id"]])
+    want = collections.Counter((r["doc_id"], tuple(expected(r["text"]))) for r in odd.collect())
+    assert collections.Counter((r["doc_id"], tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in rows) == want
     assert huffman.round_trip(odd.limit(0), PATH).count() == 0

@@ -100,14 +100,84 @@ def test_secrets_and_look_alikes(spark, odd):
     assert {r["doc_id"] for r in found if r["is_secret"]} == set(range(len(secret)))
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
     assert clean[0] == f'my token = "{secrets.REPLACEMENT}" here' and all(clean[len(secret) + i] == t for i, t in enumerate(plain))
-    # the forest is the average of its trees, recomputed by hand from their rules
-    assembler, model = secrets.forest(secrets.labelled_findings(spark))
-    trees = [t.toDebugString for t in model.trees]
-    assert len(trees) == secrets.TREES
-    held = secrets.labelled_findings(spark, 9000).where(F.pmod(F.xxhash64("token"), F.lit(7)) == 0)
-    table = held.select("label", *(c.alias(k) for k, c in secrets.features(F.col("before"), F.col("token"), F.col("after")).items()))
-    right = model.transform(assembler.transform(table)).agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0]
-    assert right > 0.97
     got = secrets.redact(odd)
     assert got.dtypes == odd.dtypes and sorted(map(str, got.collect())) == sorted(map(str, odd.collect()))
     assert secrets.report(odd.limit(0)).count() == 0
+
+
+def votes(model, vectors):
+    """Probabilities of class 1 by walking each tree's nodes in plain Python."""
+
+    def leaf(node, x):
+        while "Internal" in node.getClass().getSimpleName():
+            split = node.split()
+            node = node.leftChild() if x[split.featureIndex()] <= split.threshold() else node.rightChild()
+        return list(node.impurityStats().stats())
+
+    roots = [t._java_obj.rootNode() for t in model.trees]
+    out = []
+    for x in vectors:
+        stats = [leaf(r, x) for r in roots]
+        shares = [[v / sum(s) for v in s] for s in stats]
+        out.append(sum(s[1] for s in shares) / len(shares))
+    return out
+
+
+def test_the_forest_is_the_vote_of_its_trees(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    assembler, model = secrets.forest(secrets.labelled_findings(spark))
+    assert len(model.trees) == secrets.TREES
+    # findings that were not trained on: other numbers, and no token of the trained ones
+    trained = secrets.labelled_findings(spark).select(F.col("token").alias("t"))
+    held = secrets.labelled_findings(spark, 3000, first=1_000_000).join(trained, F.col("token") == F.col("t"), "left_anti")
+    table = held.select("label", *(c.alias(k) for k, c in secrets.features(F.col("before"), F.col("token"), F.col("after")).items()))
+    judged = model.transform(assembler.transform(table)).select("label", "prediction", vector_to_array("features").alias("x"), vector_to_array("probability")[1].alias("p")).collect()
+    right = {k: [r["prediction"] == k for r in judged if r["label"] == k] for k in (0.0, 1.0)}
+    assert all(len(x) > 400 and np.mean(x) > 0.95 for x in right.values())
+    assert np.allclose([r["p"] for r in judged[:60]], votes(model, [r["x"] for r in judged[:60]]), atol=1e-9)
+
+
+def test_planted_secrets_of_the_documents(spark):
+    """Every announced 40-digit token of the table is found, and little else."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    planted = set()
+    for r in docs.select("doc_id", "text").where("text is not null").collect():
+        planted |= {(r["doc_id"], t) for t in re.findall(r'(?i)token = "([0-9a-f]{40})"', r["text"])}
+    found = {(r["doc_id"], r["token"]) for r in secrets.scan(docs).where("is_secret").collect()}
+    assert len(planted) > 100 and len(planted & found) >= 0.98 * len(planted) and len(planted & found) >= 0.9 * len(found)
+
+
+def test_short_and_strange_announced_values(spark):
+    secret = ["password=Tr0ub4dor&3 x", "so token = 'kX9!pq#2Lm' ok", 'api_key="QWERTYUIOPASDFGH"', "a: b password=Hr7$kk2Zq1!"]
+    plain = ["password: required", "token: string", "key=None", "on 2023-01-02 we", "secret = getenv(NAME)", "password=********"]
+    docs = spark.createDataFrame(list(enumerate(secret + plain)), "doc_id long, text string")
+    assert {r["doc_id"] for r in secrets.scan(docs).where("is_secret").collect()} == set(range(len(secret)))
+
+
+def test_redaction_is_by_place(spark):
+    a, b = "b7db7aa4a5fcc78305aa90", "9f86d081884c7d659a2f"
+    texts = [f"  token={a}\t\n see commit {a} there\u00a0 ", f"token={a};secret={b} token={a}", f"x\n\n{a} key = '{a}'  end", None, ""]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, texts[1])], "doc_id long, text string")
+    found = [(r["doc_id"], r["word"], r["start"], r["token"]) for r in secrets.scan(docs).where("is_secret").collect()]
+    clean = sorted(((r["doc_id"], r["text"]) for r in secrets.redact(docs).collect()), key=str)
+
+    def by_hand(i, t):
+        """The text without what scan() found in it, replaced from the end."""
+        import re
+
+        words = [m.span() for m in re.finditer(r"\S+", t)]
+        shift = 0 if not t or not t[0].isspace() else 1  # the empty word before leading white space
+        out = t
+        for w, s, token in sorted({f[1:] for f in found if f[0] == i}, reverse=True):
+            at = words[w - shift][0] + s
+            assert out[at : at + len(token)] == token
+            out = out[:at] + secrets.REPLACEMENT + out[at + len(token) :]
+        return out
+
+    want = sorted(((i, by_hand(i, t) if t else t) for i, t in [*enumerate(texts), (0, texts[0]), (None, texts[1])]), key=str)
+    assert clean == want
+    text = dict(clean)
+    assert f"commit {a}" in text[0] and f"token={secrets.REPLACEMENT}" in text[0] and f"'{secrets.REPLACEMENT}'" in text[2]

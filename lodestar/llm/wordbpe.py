@@ -6,8 +6,9 @@ left and right of it. That holds for both levels: texts are joined over the word
 without a split is joined over BPE tokens. Two sequences of tokens whose every neighbouring pair is what BPE makes of
 that pair are BPE's own answer, so a window that agrees at both ends is exact.
 
-Words repeat, so their ids are kept in a bounded table. Texts with characters outside Latin script, or with strings of
-added tokens, go to the tokenizers library whole.
+Words repeat, so their ids are kept in a bounded table. Every text takes the tree: characters beyond Latin script are
+normalised by the library's normaliser and split by its own classes, and strings of added tokens, which the library cuts
+out before anything else, stand between the texts that do.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.tokens import printable_bytes
 
-LATIN = 0x180  # texts of characters below are split here; U+0130 alone changes its length in lower case
+LATIN = 0x180  # below, NFC changes nothing, and lower case is one character for each but U+0130
 
 
 def _class(kind: str) -> str:
@@ -32,11 +33,39 @@ def _class(kind: str) -> str:
     return "".join(map(re.escape, (c for c in map(chr, range(LATIN)) if unicodedata.category(c)[0] == kind)))
 
 
-#: The split pattern of this vocabulary's pre-tokenizer, with its classes spelled out for such texts.
-SPACE = r"\t-\r \x85\xa0"
-SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{SPACE}{_class('L')}{_class('N')}]+")
-LEAF = 1 << 13  # characters of a leaf of the text tree
-LONG_WORD = 256  # characters from which a word is encoded by halves
+def _pattern(letters: str, numbers: str, spaces: str) -> re.Pattern:
+    """Fixed value: the split pattern of this vocabulary's pre-tokenizer, with its classes spelled out."""
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+")
+
+
+SPLIT = _pattern(_class("L"), _class("N"), r"\t-\r \x85\xa0")
+LEAF = 1 << 9  # characters of a leaf of the text tree
+LONG_WORD = 64  # characters from which a word is encoded by halves
+
+
+def _ranges(found: list[str]) -> str:
+    """Ascending characters as ranges, for a pattern's brackets."""
+    out, at = [], 0
+    while at < len(found):
+        to = at
+        while to + 1 < len(found) and ord(found[to + 1]) == ord(found[to]) + 1:
+            to += 1
+        out.append(re.escape(found[at]) + (f"-{re.escape(found[to])}" if to > at else ""))
+        at = to + 1
+    return "".join(out)
+
+
+@lru_cache(maxsize=1)
+def split_all() -> re.Pattern:
+    """The split pattern for texts of any characters: classes as the tokenizers library itself has them."""
+    from tokenizers import Regex, pre_tokenizers
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    classes = []
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        cut = pre_tokenizers.Split(Regex(kind), "removed", invert=True)
+        classes.append(_ranges(sorted(c for at in range(0, len(every), 1 << 16) for piece, _ in cut.pre_tokenize_str(every[at : at + (1 << 16)]) for c in piece)))
+    return _pattern(*classes)
 WORDS_KEPT = 250_000  # of each of two generations
 
 
@@ -56,12 +85,15 @@ class WordBPE:
         self.inner = Tokenizer.from_str(json.dumps(ended | {"model": data["model"] | {"end_of_word_suffix": None}}))  # a part before the end
         self.special = [t["content"] for t in data["added_tokens"]]
         self.model = self.end.model
+        self.to_char = to_char
         self.shown = {c: "".join(to_char[b] for b in chr(c).encode()) for c in range(LATIN)}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.special_ids = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.known: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}
 
     def plain(self, text: str) -> bool:
-        """Whether splitting the lower-cased text gives the library's words: Latin letters, no added token, no dotted capital I."""
+        """Whether str.lower() is the library's normalisation, but for white space: Latin letters, no added token, no dotted capital I."""
         return text.isascii() and "<|" not in text or (max(text) < chr(LATIN) and "İ" not in text and not any(s in text for s in self.special))
 
     def word(self, word: str) -> tuple[int, str, str]:
@@ -72,7 +104,7 @@ class WordBPE:
                 ids = self.long_word(word)
                 tokens = [self.end.id_to_token(i) for i in ids]
             else:
-                pieces = self.model.tokenize(word if word.isascii() and word.isprintable() else word.translate(self.shown))
+                pieces = self.model.tokenize(self.as_bytes(word))
                 ids, tokens = [p.id for p in pieces], [p.value for p in pieces]
             found = (len(ids), " ".join(map(str, ids)), " ".join(tokens))
         if len(self.known) >= WORDS_KEPT:
@@ -80,6 +112,12 @@ class WordBPE:
         self.known[word] = found
         return found
 
+    def as_bytes(self, word: str) -> str:
+        """The characters that stand for the word's bytes."""
+        if word.isascii() and word.isprintable():
+            return word
+        return word.translate(self.shown) if max(word) < chr(LATIN) else "".join(self.to_char[b] for b in word.encode())
+
     def long_word(self, word: str) -> list[int]:
         """The ids of one long word: halves, encoded apart in one parallel call, then joined pairwise."""
         cuts = [0, len(word)]
@@ -115,25 +153,31 @@ class WordBPE:
         pieces = model.model.tokenize(text)
         return [p.id for p in pieces]
 
-    def words(self, text: str) -> list[str]:
-        """The words of a plain lower-cased text, by the tree."""
+    def words(self, text: str, split: re.Pattern = SPLIT) -> list[str]:
+        """The words of a normalised text, by the tree."""
         if len(text) <= LEAF:
-            return SPLIT.findall(text)
+            return split.findall(text)
         cuts = list(range(0, len(text), LEAF)) + [len(text)]
-        runs = [[(m.start(), m.end()) for m in SPLIT.finditer(text, a, b)] for a, b in zip(cuts, cuts[1:], strict=False)]
+        runs = [[(m.start(), m.end()) for m in split.finditer(text, a, b)] for a, b in zip(cuts, cuts[1:], strict=False)]
         while len(runs) > 1:
-            runs = [join_spans(text, runs[k], runs[k + 1]) if k + 1 < len(runs) else runs[k] for k in range(0, len(runs), 2)]
+            runs = [join_spans(text, runs[k], runs[k + 1], split) if k + 1 < len(runs) else runs[k] for k in range(0, len(runs), 2)]
         return [text[a:b] for a, b in runs[0]]
 
+    def found(self, text: str) -> list[tuple[int, str, str]]:
+        """word() of every word and added token of a text."""
+        if self.plain(text):
+            return [self.known.get(w) or self.word(w) for w in self.words(text.lower())]
+        out, normalise = [], self.whole.normalizer.normalize_str
+        for part in self.cut.split(text) if self.cut else [text]:
+            if part in self.special_ids:
+                out.append((1, str(self.special_ids[part]), part))
+            elif part:
+                out += [self.known.get(w) or self.word(w) for w in self.words(normalise(part), split_all())]
+        return out
+
     def describe(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, ids joined by spaces, decoded text)."""
-        if not text:
-            return 0, "", ""
-        if not self.plain(text):
-            e = self.whole.encode(text, add_special_tokens=False)
-            return len(e.ids), " ".join(map(str, e.ids)), self.whole.decode(e.ids, skip_special_tokens=False)
-        words = self.words(text.lower())
-        found = [self.known.get(w) or self.word(w) for w in words]
+        found = self.found(text) if text else []
         if not found:
             return 0, "", ""
         n, ids, pieces = zip(*found, strict=True)
@@ -146,7 +190,7 @@ class WordBPE:
         return self.whole.decode(ids, skip_special_tokens=False)
 
 
-def join_spans(text: str, left: list[tuple[int, int]], right: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def join_spans(text: str, left: list[tuple[int, int]], right: list[tuple[int, int]], split: re.Pattern = SPLIT) -> list[tuple[int, int]]:
     """Split a growing window around the join again until it ends in the word that ends there on the right.
 
     What stands before a word's start does not change the words from there on, so the window starts at the last but one
@@ -157,7 +201,7 @@ def join_spans(text: str, left: list[tuple[int, int]], right: list[tuple[int, in
     size = 1
     while True:
         size = min(2 * size, len(right))
-        window = [(m.start(), m.end()) for m in SPLIT.finditer(text, left[-2:][0][0], right[size - 1][1])]
+        window = [(m.start(), m.end()) for m in split.finditer(text, left[-2:][0][0], right[size - 1][1])]
         if size == len(right) or window[-1] == right[size - 1]:
             return left[:-2] + window + right[size:]
 

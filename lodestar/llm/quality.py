@@ -3,24 +3,27 @@
 Grams of ORDER UTF-16 units are counted by hashed groups of documents and summed; continuation counts, discounts and
 interpolation weights are tables derived from those counts, sharded by gram. The distinct grams of each group of
 documents are joined with the tables, order by order, and the probabilities return to the group, where each document's
-perplexity is taken over its whole text. Documents above their language's threshold are rejected: a high quantile over
-trusted documents that were kept out of the counts, times a slack.
+perplexity is taken over its whole text. Documents above their language's threshold are rejected: a high quantile of
+perplexity among trusted documents that were kept out of the counts. It is that of a log-normal fit, since a sample of a
+hundred has no 0.999 quantile of its own but its maximum, which a single odd document moves.
 """
 
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import GROUP_BYTES, Scratch, shuffle_partitions, spread, text_bytes
 
 ORDER = 4
 CALIBRATION = 5  # one in so many trusted documents sets thresholds instead of training
-QUANTILE, SLACK = 0.99, 1.3
+QUANTILE = 0.999
+FEW = 1 << 16  # languages whose thresholds are broadcast; more are joined
 PART = 1 << 19  # grams sorted at a time
 
 
@@ -111,12 +114,26 @@ def probabilities(wanted: DataFrame, tables: dict[int, DataFrame]) -> DataFrame:
     return out.select("g", F.log("p").cast("float").alias("logp"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def student(quantile: float, freedom: Column) -> Column:
+    """Student's quantile by its expansion about the normal one, in powers of 1 / degrees of freedom."""
+    z = NormalDist().inv_cdf(quantile)
+    terms = [z, (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
+    return sum((F.lit(t) / F.pow(freedom, F.lit(float(k))) for k, t in enumerate(terms)), F.lit(0.0))
+
+
+def limit(perplexity: Column, quantile: float) -> Column:
+    """Aggregate: the quantile of a further draw from the log-normal distribution that the values come from; null of fewer than two."""
+    log = F.log(perplexity)
+    n = F.count(log)
+    return F.when(n > 1, F.exp(F.avg(log) + student(quantile, n - 1) * F.stddev_samp(log) * F.sqrt(1 + 1 / n)))
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, perplexity, threshold, keep for every row of `docs`, and row_hash to tell rows of one id apart.
 
     Trusted are documents that `labels` gives quality 1. Null and empty texts have no perplexity and are kept; so is everything
-    if nothing is trusted. Null languages count as one language; one without calibration documents takes the threshold over
-    all. Rows of one doc_id share its label. An empty table gives no rows. Other columns are not read.
+    if nothing is trusted. Null languages count as one language; one with fewer than two calibration documents takes the
+    threshold over all. A document on its threshold is kept. Rows of one doc_id share its label. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
@@ -158,10 +175,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     scores = scratch.write(scores.applyInPandas(scored, "doc_id long, lang string, row_hash long, perplexity double"), "scores")
     scratch.drop("seen", "known", *(f"count{k}" for k in tables))
     calibration = scores.join(trusted.where(calibrates), "doc_id", "left_semi").where("perplexity is not null")
-    cut = F.percentile_approx("perplexity", F.lit(float(quantile)), F.lit(10000)) * slack
-    by_lang = {r["lang"]: r["t"] for r in calibration.groupBy("lang").agg(cut.alias("t")).collect()}  # one row per language
-    overall = calibration.agg(cut.alias("t")).first()["t"]
-    limits = spark.createDataFrame([(k, v) for k, v in by_lang.items()], "lang string, limit double")
-    out = scores.join(F.broadcast(limits), "lang", "left").withColumn("threshold", F.coalesce("limit", F.lit(overall).cast("double")))
+    limits = scratch.write(calibration.groupBy(F.col("lang").alias("l_lang")).agg(limit(F.col("perplexity"), quantile).alias("limit")), "limits")
+    overall = calibration.agg(limit(F.col("perplexity"), quantile).alias("t")).first()["t"]
+    out = scores.join(F.broadcast(limits) if limits.count() <= FEW else limits, F.col("lang") == F.col("l_lang"), "left")
+    out = out.withColumn("threshold", F.coalesce("limit", F.lit(overall).cast("double")))
     keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return out.select("doc_id", "lang", "perplexity", "threshold", keep.alias("keep"), "row_hash")

@@ -62,6 +62,41 @@ def test_quality_keeps_clean_and_rejects_junk(spark, odd):
     assert len(rows) == odd.count() + 320 and all(r["keep"] for r in rows if r["perplexity"] is None)
 
 
+def test_thresholds_against_plain_statistics(spark):
+    """By language: exp(mean + t sd sqrt(1 + 1/n)) of log perplexities of the trusted documents left out; ties are kept."""
+    from statistics import mean, stdev
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice(["an", "the", "or", "is", "re"]) for _ in range(rng.randint(1, 3))) for _ in range(100)]
+    langs = ["en", "de", None, "x"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(5, 60))), "x" if i == 3 else langs[i % 3]) for i in range(240)]
+    rows += [(i, t, lang) for i, t, lang in rows[:7]] + [(300, None, "en"), (None, "§§ %%", "zz"), (301, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)] + [(5, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    out = quality.classify(docs, labels, 0.9).collect()
+    assert len(out) == len(rows)
+    held = {r["doc_id"] for r in labels.where((F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(quality.CALIBRATION)) == 0)).collect() if r["doc_id"] is not None}
+    logs = defaultdict(list)
+    for r in out:
+        if r["doc_id"] in held and r["perplexity"] is not None:
+            logs[r["lang"]].append(math.log(r["perplexity"]))
+
+    def limit(x):
+        return math.exp(mean(x) + spark.range(1).select(quality.student(0.9, F.lit(len(x) - 1))).first()[0] * stdev(x) * math.sqrt(1 + 1 / len(x))) if len(x) > 1 else None
+
+    overall = limit([x for v in logs.values() for x in v])
+    assert limit(logs["en"]) and not limit(logs.get("zz", []))
+    for r in out:
+        assert math.isclose(r["threshold"], limit(logs.get(r["lang"], [])) or overall, rel_tol=1e-9)
+        assert r["keep"] == (r["perplexity"] is None or r["perplexity"] <= r["threshold"])
+
+
+def test_student_quantiles(spark):
+    """Tabled values."""
+    for q, freedom, want in ((0.9, 10, 1.372), (0.9, 30, 1.310), (0.999, 14, 3.787), (0.999, 30, 3.385), (0.999, 120, 3.160), (0.995, 20, 2.845)):
+        assert abs(spark.range(1).select(quality.student(q, F.lit(freedom))).first()[0] - want) < 0.01 * want
+
+
 def test_nnpu_separates():
     rng = np.random.default_rng(0)
     positive = [np.unique(rng.integers(0, 3, 2)) for _ in range(200)]

@@ -4,8 +4,9 @@ Features of a text are its distinct words and their first letters (prefixes of s
 stand out in confirmed toxic examples against unlabelled text make up the model: a linear score, trained in numpy on
 positives and unlabelled rows alone with the class-prior-corrected, non-negative risk estimate
     prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)]).
-Training reads bounded samples (MAX_POSITIVE confirmed rows and MAX_UNLABELLED texts, by a hash of the id); scoring reads
-every text, on the executors, with a table of bounded size.
+How many confirmed and unlabelled texts hold a feature is counted over all of them; only the fit itself reads bounded samples
+(MAX_POSITIVE confirmed and MAX_UNLABELLED unlabelled texts, by a hash of id and text). The model has at most MAX_FEATURES
+features, the strongest ones. Scoring reads every text, on the executors, with that table.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6, 7)
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 4000, 16000, 8192
 WORDS_KEPT = 300_000
+COUNTED = 200_000  # features whose counts a task holds before it passes them on
+FEW = 1 << 20  # ids of confirmed rows that are broadcast; more are joined
 HELD_OUT = 2  # remainder of crc32(doc_id) modulo 4 whose labels are never read
 
 
@@ -103,29 +106,42 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if not count["p"]:
         return Model(np.zeros(0, np.int64), np.zeros(0), -500.0)
     prior = min(max(count["p"] / count["n"], 1e-4), 0.9)
-    total = docs.count()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").where(~held_out())
+    confirmed = known.where("toxic = 1").select("doc_id").distinct().withColumn("p", F.lit(1))
+    confirmed = F.broadcast(confirmed) if count["p"] <= FEW else confirmed
+    marked = texts.join(confirmed, "doc_id", "left").withColumn("p", F.coalesce("p", F.lit(0)))
 
-    def share(most: int, of: int):
-        """A test that keeps about `most` of `of` rows, by a hash of the id."""
-        return F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(of, 1)))
+    def counted(batches):
+        both, features = (Counter(), Counter()), Features()
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").where(~held_out())
-    picked = known.where("toxic = 1").where(share(MAX_POSITIVE, count["p"])).select("doc_id").distinct()
-    # the ids number MAX_POSITIVE, within chance, whatever the table holds
-    positive = texts.join(F.broadcast(picked), "doc_id", "left_semi").select("text", F.lit(1).alias("p"))
-    sample = positive.unionAll(texts.where(share(MAX_UNLABELLED, total)).select("text", F.lit(0).alias("p")))
+        def flush():
+            keys = list(both[0])
+            batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([both[1][k] for k in keys], pa.int64()), pa.array(list(both[0].values()), pa.int64())], names=["h", "p", "u"])
+            both[0].clear()
+            both[1].clear()
+            return batch
 
-    def counted(batches):
         for batch in batches:
-            both, features = (Counter(), Counter()), Features()
             for text, p in zip(batch["text"].to_pylist(), batch["p"].to_pylist(), strict=True):
-                both[p].update(features.of(text))
-            keys = list({*both[0], *both[1]})
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([both[1][k] for k in keys], pa.int64()), pa.array([both[0][k] for k in keys], pa.int64())], names=["h", "p", "u"])
-
-    counts = sample.mapInArrow(counted, "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    sizes = {r["p"]: r["n"] for r in sample.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = max(sizes.get(1, 0), 1), max(sizes.get(0, 0), 1)
+                found = features.of(text)
+                both[0].update(found)
+                if p:
+                    both[1].update(found)
+                if len(both[0]) > COUNTED:
+                    yield flush()
+        yield flush()
+
+    # every text is unlabelled text; the confirmed ones are counted once more
+    counts = marked.select("text", "p").mapInArrow(counted, "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    total = marked.agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("p")).first()
+    n1, n0 = max(total["p"] or 0, 1), max(total["n"], 1)
+
+    def some(rows: DataFrame, most: int, of: int) -> DataFrame:
+        """About `most` of `of` rows, by a hash of id and text; equal rows count once, so that repeated ones add nothing."""
+        mark = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 30))
+        return rows.where(mark < int((1 << 30) * min(1.0, most / of))).dropDuplicates(["doc_id", "text"])
+
+    sample = some(marked.where("p = 1"), MAX_POSITIVE, n1).select("text", F.lit(1).alias("p")).unionAll(some(marked, MAX_UNLABELLED, n0).select("text", F.lit(0).alias("p")))
     p, u = (F.col("p") + 0.5) / (n1 + 1), (F.col("u") + 0.5) / (n0 + 1)
     lift = F.log(p / u)
     # unlabelled text holds its share of positives, so a sure sign has a lift of about -log(prior)

@@ -107,6 +107,51 @@ def test_nnpu_separates():
     assert ((z > 0) == truth).mean() > 0.97
 
 
+def test_fit_against_a_plain_loop():
+    """The same risk and optimiser, example by example, with slopes taken by differences."""
+    rng = np.random.default_rng(3)
+    size, prior = 6, 0.3
+    positive = [np.unique(rng.integers(0, 3, 2)) for _ in range(12)]
+    unlabelled = [np.unique(rng.integers(0, size, 2)) for _ in range(25)] + [np.zeros(0, np.int64)]
+
+    def parts(theta):
+        def loss(r):  # of calling it negative; the sigmoid loss
+            return 1 / (1 + math.exp(-(sum(theta[k] for k in r) + theta[-1])))
+
+        e_p, e_u = (sum(map(loss, x)) / len(x) for x in (positive, unlabelled))
+        return prior * (1 - e_p), e_u - prior * e_p
+
+    def objective(theta):
+        """Where the estimate for negatives is below zero, only it is undone."""
+        pos, neg = parts(theta)
+        return -neg if parts(now)[1] < 0 else pos + neg
+
+    now, m, v, negative = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1), 0
+    now[-1] = math.log(prior / (1 - prior))
+    for step in range(1, 61):
+        g = np.zeros(size + 1)
+        negative += parts(now)[1] < 0
+        for k in range(size + 1):
+            d = np.zeros(size + 1)
+            d[k] = 1e-6
+            g[k] = (objective(now + d) - objective(now - d)) / 2e-6 + (1e-4 * now[k] if k < size else 0)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        now = now - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    weights, bias = toxicity.fit_nnpu(positive, unlabelled, size, prior, steps=60)
+    assert np.allclose(np.append(weights, bias), now, atol=2e-3)
+    assert toxicity.Model(np.arange(size), weights, bias).score({1, 4}) == 1 / (1 + math.exp(-(weights[1] + weights[4] + bias)))
+
+
+def test_features_are_counted_over_all_texts(spark, monkeypatch):
+    """With samples of a few rows, a sign that only other rows hold is still known."""
+    docs = [(i, f"plain words here {'vilest' if i % 10 == 0 else 'kind'} end") for i in range(600)]
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 40)
+    monkeypatch.setattr(toxicity, "COUNTED", 5)
+    model = toxicity.train(spark.createDataFrame(docs * 2 + [(0, docs[0][1])] * 20, "doc_id long, text string"), labels)
+    assert set(toxicity.word_features("vilest")) <= set(model.features.tolist())
+
+
 def test_toxicity_on_held_out_rows(spark, odd):
     rng = random.Random(2)
     rows, labels = [], []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ GROUP_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; where it is unset (tests), a temporary one is set once."""
+    """The folder the cluster names in spark.checkpoint.dir. Only a session without other machines (tests) may leave it unset: it gets its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="lodestar-")
         spark.sparkContext.setCheckpointDir(found)
         found = "file://" + found

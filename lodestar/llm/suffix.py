@@ -22,6 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,12 +161,14 @@ def _occurrences(docs: DataFrame, span: int, buckets: int, groups: int) -> DataF
 
     def found(batches):
         for batch in batches:
-            texts, group = batch["text"].to_pylist(), batch["g"].to_numpy()
-            for at in range(0, len(texts), 2000):
-                each = [np.unique(anchors(_text(t), span)[0]) for t in texts[at : at + 2000]]
+            group, lengths = batch["g"].to_numpy(), np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:  # so many texts at once as make GROUP_BYTES, or one
+                to = min(at + 2000, max(at + 1, int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + GROUP_BYTES, "right"))))
+                each = [np.unique(anchors(_text(t), span)[0]) for t in batch["text"].slice(at, to - at).to_pylist()]
                 grams = np.concatenate(each) if each else np.zeros(0, np.uint64)
                 doc = np.repeat(np.arange(len(each)), [len(x) for x in each])
-                bucket, g = _bucket_of(grams, buckets), group[at : at + 2000]
+                bucket, g, at = _bucket_of(grams, buckets), group[at:to], to
                 rows = [(b, (grams[i] >> np.uint64(32)).astype("<u4").tobytes(), doc[i].astype("<u2").tobytes(), g[doc[i]].astype("<i4").tobytes()) for b, i in _sliced(bucket, buckets)]
                 if rows:
                     b, keys, docs_, gs = zip(*rows, strict=True)

@@ -124,6 +124,39 @@ def hilbert_index(bits: int, *axes: Column) -> Column:
     return index(*axes)
 
 
+def unhilbert(index: np.ndarray, bits: int, axes: int) -> list[np.ndarray]:
+    """The coordinates whose hilbert() is the index: the interleaving, the Gray code and the turns undone, in reverse order."""
+    h = index.astype(np.uint64)
+    x = [np.zeros_like(h) for _ in range(axes)]
+    for i in range(axes):
+        for b in range(bits):
+            x[i] |= ((h >> np.uint64(b * axes + axes - 1 - i)) & np.uint64(1)) << np.uint64(b)
+    last = x[-1] >> np.uint64(1)
+    for i in range(axes - 1, 0, -1):
+        x[i] ^= x[i - 1]
+    x[0] ^= last
+    for level in range(1, bits):
+        q = np.uint64(1 << level)
+        p = q - np.uint64(1)
+        for i in range(axes - 1, -1, -1):
+            high = (x[i] & q) != 0
+            swap = np.where(high, np.uint64(0), (x[0] ^ x[i]) & p)
+            x[0] = np.where(high, x[0] ^ p, x[0] ^ swap)
+            if i:
+                x[i] = x[i] ^ swap
+    return x
+
+
+def hilbert_point(bits: int, axes: int, index: Column) -> Column:
+    """An array of the coordinates."""
+
+    @F.pandas_udf("array<long>")
+    def point(s: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack([a.view(np.int64) for a in unhilbert(s.to_numpy(np.int64).view(np.uint64), bits, axes)], axis=1)))
+
+    return point(index)
+
+
 def splitmix_at(seed: int, n: Column) -> Column:
     """The n-th (from 0) output of splitmix64: a function of the counter alone."""
     return splitmix(add64(F.lit(signed(seed)), mul64(n.cast("long") + 1, GOLDEN64)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.plans import graphs, hashing, keyed, spatial, statistics  # noqa: F401  (each registers its queries)
+from lodestar.plans import graphs, hashing, keyed, members, spatial, statistics  # noqa: F401  (each registers its queries)
 from lodestar.plans.registry import ORACLES, QUERIES
 
 

@@ -49,7 +49,11 @@ def hash_wang64(t):
     return t.orders.select("o_orderkey", mixers.wang64(F.col("o_orderkey")).alias("wang"))
 
 
-@query()
+GUID_HALVES = ", ".join(f"CAST('0x' || {' || '.join(f'substr(h, {start + 2 * k}, 2)' for k in range(7, -1, -1))} AS UBIGINT) AS {name}" for name, start in (("a", 1), ("b", 17)))
+GUID_SQL = f"SELECT o_orderkey, xor({fmix64_sql('a')}, {fmix64_sql('b')}) AS u FROM (SELECT o_orderkey, {GUID_HALVES} FROM (SELECT o_orderkey, md5(CAST(o_orderkey AS VARCHAR)) AS h FROM orders))"
+
+
+@query(f"SELECT o_orderkey, {signed_sql('u')} AS hash FROM ({GUID_SQL})")
 def hash_guid(t):
     """fmix64 of a GUID's two little-endian halves, combined."""
     g = t.orders.select("o_orderkey", F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("h"))
@@ -65,8 +69,16 @@ def hash_guid(t):
 BYTES = "list_transform(string_split(c_name, ''), lambda c: CAST(ord(c) AS UHUGEINT))"
 
 
-def _fold(start, step):
-    return f"CAST(list_reduce({BYTES}, lambda h, b: {step}, {start}::UHUGEINT) AS BIGINT)"
+#: Both bytes of each UTF-16 unit.
+WHOLE = "flatten(list_transform(string_split(c_name, ''), lambda c: [CAST(ord(c) % 256 AS UHUGEINT), CAST(ord(c) // 256 AS UHUGEINT)]))"
+
+
+def _reduced(start, step, source=BYTES):
+    return f"list_reduce({source}, lambda h, b: {step}, {start}::UHUGEINT)"
+
+
+def _fold(start, step, source=BYTES):
+    return f"CAST({_reduced(start, step, source)} AS BIGINT)"
 
 
 @query(f"SELECT c_custkey, {_fold(2166136261, '(xor(h, b) * 16777619) % 4294967296')} AS fnv1a, {_fold(2166136261, 'xor((h * 16777619) % 4294967296, b)')} AS fnv1 FROM customer")
@@ -79,12 +91,29 @@ def hash_djb2_family(t):
     return t.customer.select("c_custkey", *(strings.string_hash(h, F.col("c_name")).alias(h) for h in ("djb2", "sdbm")))
 
 
-@query()
+P64, O64 = "1099511628211::UHUGEINT", 14695981039346656037
+SHIFTED = "((h * 16 + b) % 4294967296)"
+STIRRED = "((h + b) * 1025 % 4294967296)"
+FOLDS = {
+    "fnv1a_full": _fold(2166136261, "(xor(h, b) * 16777619) % 4294967296", WHOLE),
+    "fnv1_64": signed_sql(_reduced(O64, f"xor((h * {P64}) % {TWO64}, b)", WHOLE)),
+    "fnv1a_64": signed_sql(_reduced(O64, f"(xor(h, b) * {P64}) % {TWO64}", WHOLE)),
+    "djb2a": _fold(5381, "xor((h * 33) % 4294967296, b)", WHOLE),
+    "elf": _fold(0, f"xor({SHIFTED} % 268435456, ({SHIFTED} // 268435456) * 16)", WHOLE),
+    "jenkins": f"CAST((SELECT (xor(j, j // 2048) * 32769) % 4294967296 FROM (SELECT ({_reduced(0, f'xor({STIRRED}, {STIRRED} // 64)', WHOLE)} * 9) % 4294967296 AS j)) AS BIGINT)",
+}
+
+
+@query(f"SELECT c_custkey, {', '.join(f'{v} AS {k}' for k, v in FOLDS.items())} FROM customer")
 def hash_byte_folds(t):
     return t.customer.select("c_custkey", *(strings.string_hash(h, F.col("c_name")).alias(h) for h in ("fnv1a_full", "fnv1_64", "fnv1a_64", "djb2a", "elf", "jenkins")))
 
 
-@query()
+CRC = "xor(list_reduce(" + WHOLE + ", lambda h, b: list_reduce([0::UHUGEINT, 0, 0, 0, 0, 0, 0, 0], lambda c, i: xor(c // 2, (c % 2) * 3988292384), xor(h, b)), 4294967295::UHUGEINT), 4294967295::UHUGEINT)"
+ADLER = f"(SELECT ((len(w) + list_sum(list_transform(range(1, len(w) + 1), lambda i: (len(w) - i + 1) * CAST(w[i] AS BIGINT)))) % 65521) * 65536 + (1 + list_sum(list_transform(w, lambda x: CAST(x AS BIGINT)))) % 65521 FROM (SELECT {WHOLE} AS w))"
+
+
+@query(f"SELECT c_custkey, CAST({CRC} AS BIGINT) AS crc32, CAST({ADLER} AS BIGINT) AS adler32 FROM customer")
 def hash_crc_adler(t):
     return t.customer.select("c_custkey", strings.crc32(F.col("c_name")).alias("crc32"), strings.adler32(F.col("c_name")).alias("adler32"))
 
@@ -118,7 +147,10 @@ def ring_route(t):
     return routing.ring_route(keys, [(n, w, node_hash(n)) for n, w in NODES], "k").select("o_orderkey", "node")
 
 
-@query()
+REPLICAS = "d AS (SELECT o_orderkey, node, min((CAST(r.p AS BIGINT) - CAST(o.k AS BIGINT) + 4294967296) % 4294967296) AS far FROM o, r GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY far) AS n FROM d)"
+
+
+@query(f"{RING_SQL}, r AS (SELECT p, arg_min(node, ord) AS node FROM v GROUP BY p), {REPLICAS} SELECT o_orderkey, string_agg(node, ',' ORDER BY n) AS nodes FROM k WHERE n <= 3 GROUP BY o_orderkey")
 def ring_replicas(t):
     keys = t.orders.select("o_orderkey", mixers.low32(mixers.mix64(F.col("o_orderkey"))).alias("k"))
     return routing.ring_replicas(keys, [(n, w, node_hash(n)) for n, w in NODES], "k", 3).select("o_orderkey", F.concat_ws(",", "nodes").alias("nodes"))
@@ -199,12 +231,24 @@ def prng_splitmix(t):
     return s.select("n", "u", bits.unit_double(F.col("u")).alias("x"), F.shiftrightunsigned("u", 32).alias("u32"), (F.col("u") < 0).alias("flag"))
 
 
-@query()
+def _event_sql(seed):
+    return splitmix_sql(add_sql(str(seed), mul_sql("(CAST(event_id AS UBIGINT) + 1)", mixers.GOLDEN64)))
+
+
+def _guid_sql(high):
+    low = "((b::UHUGEINT % 4611686018427387904) + 9223372036854775808::UHUGEINT)"
+    return f"(SELECT substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-' || substr(x, 13, 4) || '-' || substr(x, 17, 4) || '-' || substr(x, 21, 12) FROM (SELECT lower(lpad(hex(CAST({high} AS UBIGINT)), 16, '0') || lpad(hex(CAST({low} AS UBIGINT)), 16, '0')) AS x))"
+
+
+DRAWN_SQL = f"SELECT event_id, ts, {_event_sql(1)} AS a, {_event_sql(2)} AS b FROM events"
+
+
+@query(f"SELECT event_id, {_guid_sql('(a::UHUGEINT // 65536) * 65536 + 16384 + a::UHUGEINT % 4096')} AS guid FROM ({DRAWN_SQL})")
 def guid_v4(t):
     return t.events.select("event_id", bits.guid4(bits.splitmix_at(1, F.col("event_id")), bits.splitmix_at(2, F.col("event_id"))).alias("guid"))
 
 
-@query()
+@query(f"SELECT event_id, {_guid_sql('CAST(epoch_us(ts) // 1000 AS UHUGEINT) * 65536 + 28672 + a::UHUGEINT % 4096')} AS guid FROM ({DRAWN_SQL})")
 def guid_v7(t):
     millis = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01', ts)")
     return t.events.select("event_id", bits.guid7(millis, bits.splitmix_at(1, F.col("event_id")), bits.splitmix_at(2, F.col("event_id"))).alias("guid"))

@@ -2,24 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """A written copy of `df` in the folder that the cluster names; a temporary one is set only where it is unset."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "lodestar-checkpoints")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from lodestar.operators.cuts import cut as _cut
 
 
 def bfs_levels(edges: DataFrame, source: int) -> DataFrame:

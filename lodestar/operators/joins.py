@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestar.operators.cuts import cut
+
+CHUNKS = 4096  # chunks of keys that one row of a last window stands for
+
 
 def interval_stab(intervals: DataFrame, points: DataFrame, start: str, end: str, point: str, width: float) -> DataFrame:
     """Pairs with start <= point < end. Empty intervals never match."""
@@ -34,17 +38,23 @@ def successor(probes: DataFrame, keys: DataFrame, probe: str, key: str, strict:
     Keys are condensed per chunk of the key range; a probe looks in its own chunk, then at the first key of the next
     non-empty one. Sorting is within chunks, so no task holds the whole range.
     """
-    k = keys.select(F.col(key).alias("_k")).where("_k is not null").distinct().withColumn("_c", F.floor(F.col("_k") / chunk))
-    firsts = k.groupBy("_c").agg(F.min("_k").alias("_first"))
-    order = W.orderBy(F.col("_c").desc()).rowsBetween(W.unboundedPreceding, -1)  # one row per chunk
-    p = probes.withColumn("_c", F.floor(F.col(probe) / chunk)).withColumn("_id", F.monotonically_increasing_id())
-    later = firsts.unionByName(p.select("_c").distinct().withColumn("_first", F.lit(None).cast(firsts.schema["_first"].dataType))).groupBy("_c").agg(F.min("_first").alias("_first"))
-    later = later.withColumn("_next", F.min("_first").over(order)).select("_c", "_next")
-    marked = p.select("_c", F.col(probe).alias("_k"), "_id", F.lit(0 if strict else 1).alias("_kind")).unionByName(k.select("_c", "_k", F.lit(None).cast("long").alias("_id"), F.lit(1 if strict else 0).alias("_kind")))
+    k = keys.select(F.col(key).alias("key_")).where("key_ is not null").distinct().withColumn("chunk_", F.floor(F.col("key_") / chunk))
+    asked = probes.select(F.col(probe).alias("key_")).where("key_ is not null").distinct().withColumn("chunk_", F.floor(F.col("key_") / chunk))
+    # one row per chunk of either side, in two levels: within ranges of chunks side by side, and over the ranges
+    firsts = k.groupBy("chunk_").agg(F.min("key_").alias("first_"))
+    firsts = firsts.unionByName(asked.select("chunk_").distinct().withColumn("first_", F.lit(None).cast(firsts.schema["first_"].dataType))).groupBy("chunk_").agg(F.min("first_").alias("first_"))
+    firsts = firsts.withColumn("far_", F.floor(F.col("chunk_") / CHUNKS))
+    inside = F.min("first_").over(W.partitionBy("far_").orderBy(F.col("chunk_").desc()).rowsBetween(W.unboundedPreceding, -1))
+    beyond = F.min("low_").over(W.orderBy(F.col("far_").desc()).rowsBetween(W.unboundedPreceding, -1))  # one row for CHUNKS chunks
+    ranges = firsts.groupBy("far_").agg(F.min("first_").alias("low_")).select("far_", beyond.alias("beyond_"))
+    later = firsts.withColumn("inside_", inside).join(ranges, "far_").select("chunk_", F.coalesce("inside_", "beyond_").alias("next_"))
     # keys sort after probes of the same value where equality counts
-    position = W.partitionBy("_c").orderBy(F.col("_k").desc(), F.col("_kind")).rowsBetween(W.unboundedPreceding, -1)
-    seen = marked.withColumn("_found", F.last(F.when(F.col("_id").isNull(), F.col("_k")), ignorenulls=True).over(position)).where("_id is not null").select("_id", "_found")
-    return p.join(seen, "_id", "left").join(later, "_c", "left").withColumn("found", F.coalesce("_found", "_next")).drop("_id", "_c", "_found", "_next")
+    marked = asked.withColumn("kind_", F.lit(0 if strict else 1)).unionByName(k.withColumn("kind_", F.lit(1 if strict else 0)))
+    position = W.partitionBy("chunk_").orderBy(F.col("key_").desc(), F.col("kind_")).rowsBetween(W.unboundedPreceding, -1)
+    is_key = F.col("kind_") == (1 if strict else 0)
+    seen = marked.withColumn("found_", F.last(F.when(is_key, F.col("key_")), ignorenulls=True).over(position)).where(~is_key)
+    answers = seen.join(later, "chunk_", "left").select("key_", F.coalesce("found_", "next_").alias("found"))
+    return probes.join(answers, F.col(probe) == F.col("key_"), "left").drop("key_")
 
 
 def _cells(x: Column, y: Column, cell: float, reach: float) -> Column:
@@ -87,7 +97,8 @@ def box_overlap(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
 def nearest(points: DataFrame, queries: DataFrame, k: int, cell: float, max_distance: float | None = None) -> DataFrame:
     """queries(q, qx, qy) with their k nearest points(id, x, y): q, id, d2, rank; ties to the smaller id.
 
-    Rings of cells around the query widen, doubling, until each query has k points that no farther ring can beat.
+    Rings of cells around the query widen fourfold until each query has k points that no farther ring can beat. Each
+    round is written, and only queries that are not settled enter the next.
     """
     p = points.withColumn("_c", F.struct(F.floor(F.col("x") / cell).alias("i"), F.floor(F.col("y") / cell).alias("j")))
     bounds = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
@@ -104,12 +115,15 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, cell: float, max_dist
         if not last or max_distance is not None:
             near = near.where(F.col("d2") <= limit * limit)
         found = near.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "id", "d2", "rank")
+        found = found if last else cut(found)
         if last:
             return found if done is None else done.unionByName(found)
         full = found.where(F.col("rank") == k).select("q")
         part = found.join(full, "q", "left_semi")
         done = part if done is None else done.unionByName(part)
-        left = left.join(full, "q", "left_anti")
+        left = cut(left.join(full, "q", "left_anti"))
+        if left.isEmpty():
+            return done
         reach *= 4
 
 

@@ -85,19 +85,23 @@ ACCURACY, MAX_BINS = 0.01, 2048
 
 
 def dd_buckets(values: DataFrame, value: str, accuracy: float = ACCURACY, max_bins: int = MAX_BINS) -> DataFrame:
-    """(sign, bucket, n) of a relative-error quantile sketch; beyond max_bins the lowest indexes of a sign fold into one."""
+    """(sign, bucket, n) of a relative-error quantile sketch; beyond max_bins the lowest values of a sign fold into one.
+
+    Those are the least magnitudes above zero, and the greatest below.
+    """
     gamma = math.log((1 + accuracy) / (1 - accuracy))
     v = F.col(value)
     index = F.when(v == 0, 0).otherwise(F.ceil(F.round(F.log(F.abs(v)) / gamma, 9))).cast("long")
     cells = values.where(v.isNotNull()).groupBy(F.signum(v).cast("int").alias("sign"), index.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    top = cells.groupBy("sign").agg(F.max("bucket").alias("top"))  # three rows at most
-    return cells.join(F.broadcast(top), "sign").groupBy("sign", F.greatest("bucket", F.col("top") - (max_bins - 1)).alias("bucket")).agg(F.sum("n").alias("n"))
+    ends = cells.groupBy("sign").agg(F.min("bucket").alias("low"), F.max("bucket").alias("top"))  # three rows at most
+    kept = F.when(F.col("sign") < 0, F.least("bucket", F.col("low") + (max_bins - 1))).otherwise(F.greatest("bucket", F.col("top") - (max_bins - 1)))
+    return cells.join(F.broadcast(ends), "sign").groupBy("sign", kept.alias("bucket")).agg(F.sum("n").alias("n"))
 
 
 def dd_quantiles(buckets: DataFrame, quantiles: list[float], low: float, high: float, accuracy: float = ACCURACY) -> DataFrame:
     """(q, value): the value of the bucket in which rank floor(q * (n - 1)) falls, within [low, high]."""
     gamma = math.log((1 + accuracy) / (1 - accuracy))
-    place = F.col("sign") * F.when(F.col("sign") < 0, F.col("bucket")).otherwise(F.col("bucket"))
+    place = F.col("sign") * F.col("bucket")
     ordered = buckets.withColumn("cum", F.sum("n").over(W.orderBy("sign", place)))  # at most 2 * MAX_BINS + 1 rows
     total = buckets.agg(F.sum("n").alias("total"))
     asked = buckets.sparkSession.createDataFrame([(float(q),) for q in quantiles], "q double").crossJoin(F.broadcast(total)).withColumn("rank", F.floor(F.col("q") * (F.col("total") - 1)))

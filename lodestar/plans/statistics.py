@@ -24,7 +24,19 @@ def multiset_signed(t):
     return t.events.groupBy("user_id").agg(F.sum(F.when(F.col("event_type").isin("view", "click"), 1).otherwise(-1)).alias("n")).where("n > 0")
 
 
-@query("SELECT count(DISTINCT l_partkey) AS n, count(DISTINCT l_partkey) <= 2048 AS exact FROM lineitem")
+def _registers_sql(hash64: str, table: str, precision: int) -> str:
+    return f"SELECT CAST(h >> {64 - precision} AS BIGINT) AS register, max(CAST(1 + 63 - floor(log2((h << {precision}) % 18446744073709551616::UHUGEINT | {1 << (precision - 1)}::UHUGEINT)) AS BIGINT)) AS rank FROM (SELECT CAST({hash64} AS UHUGEINT) AS h FROM {table}) GROUP BY 1"
+
+
+def _estimate_sql(registers: str, precision: int) -> str:
+    m = 1 << precision
+    return f"SELECT CAST(CASE WHEN r <= 2.5 * {m} AND n < {m} THEN round_even({m} * ln({m}.0 / ({m} - n)), 0) ELSE round_even(r, 0) END AS BIGINT) AS estimate FROM (SELECT 0.7213 / (1 + 1.079 / {m}) * {m} * {m} / (sum(pow(2.0, -rank)) + {m} - count(*)) AS r, count(*) AS n FROM ({registers}))"
+
+
+PARTS_SQL = _estimate_sql(_registers_sql(mix64_sql("CAST(l_partkey AS UBIGINT)"), "lineitem", 14), 14)
+
+
+@query(f"SELECT CASE WHEN d <= 2048 THEN d ELSE (SELECT estimate FROM ({PARTS_SQL})) END AS n, d <= 2048 AS exact FROM (SELECT count(DISTINCT l_partkey) AS d FROM lineitem)")
 def distinct_exact_or_hll(t):
     """Exact up to 2048 distinct values; an estimate of registers beyond."""
     hashed = t.lineitem.select(mix64(F.col("l_partkey")).alias("h"))
@@ -35,23 +47,23 @@ def distinct_exact_or_hll(t):
 
 H = "CAST(o_orderkey AS UBIGINT)"
 P = 10
-REG_SQL = f"SELECT CAST(h >> {64 - P} AS BIGINT) AS register, max(CAST(1 + 63 - floor(log2((h << {P}) % 18446744073709551616::UHUGEINT | {1 << (P - 1)}::UHUGEINT)) AS BIGINT)) AS rank FROM (SELECT CAST({fmix64_sql(H)} AS UHUGEINT) AS h FROM orders {{0}}) GROUP BY 1"
+REG_SQL = _registers_sql(fmix64_sql(H), "orders", P)
 
 
-@query(REG_SQL.format(""))
+@query(REG_SQL)
 def hll_registers(t):
     return sketches.hll_registers(t.orders.select(fmix64(F.col("o_orderkey")).alias("h")), "h", P)
 
 
-EST_SQL = "SELECT CAST(CASE WHEN r <= 2.5 * 1024 AND n < 1024 THEN round_even(1024 * ln(1024.0 / (1024 - n)), 0) ELSE round_even(r, 0) END AS BIGINT) AS estimate FROM (SELECT 0.7213 / (1 + 1.079 / 1024) * 1024 * 1024 / (sum(pow(2.0, -rank)) + 1024 - count(*)) AS r, count(*) AS n FROM ({0}))"
+EST_SQL = _estimate_sql(REG_SQL, P)
 
 
-@query(EST_SQL.format(REG_SQL.format("")))
+@query(EST_SQL)
 def hll_estimate(t):
     return sketches.hll_estimate(hll_registers(t), P)
 
 
-@query(EST_SQL.format(REG_SQL.format("")))
+@query(EST_SQL)
 def hll_union(t):
     parts = [sketches.hll_registers(t.orders.where(c).select(fmix64(F.col("o_orderkey")).alias("h")), "h", P) for c in ("o_orderkey % 2 = 0", "o_orderkey % 2 = 1")]
     return sketches.hll_estimate(parts[0].unionAll(parts[1]).groupBy("register").agg(F.max("rank").alias("rank")), P)

@@ -80,3 +80,84 @@ def test_streams(spark, tmp_path):
     q = windowed_counts(stream, "event_type").writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("windows").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_published_vectors_of_block_hashes():
+    """Empty inputs and the first bytes, as their authors publish them."""
+    h = {name: f for name, (_, f) in strings.HASHES.items()}
+    assert h["xxh32"](b"") == 0x02CC5D05 and h["xxh64"](b"") == 0xEF46DB3751D8E999 and h["xxh3"](b"") == 0x2D06800538D394C2
+    assert strings.siphash(b"", 2, 4) == 0x726FDB47DD0E0E31 and strings.half_siphash(b"") == 0x5B9F35A9
+    assert strings.elf(b"jdfgsdhfsdfsd 6445dsfsd7fg/*/+bfjsdgf%$^") == 248446350
+
+
+def test_sketch_folds_the_lowest_values_of_each_sign(spark):
+    """Beyond max_bins: the least magnitudes above zero, the greatest below."""
+    values = [s * 1.5**k for s in (1, -1) for k in range(20)] + [0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    whole = {(r["sign"], r["bucket"]): r["n"] for r in sketches.dd_buckets(df, "v").collect()}
+    want = {}
+    for sign in (1, -1, 0):
+        have = sorted(b for s, b in whole if s == sign)
+        for b in have:
+            to = max(b, have[-1] - 7) if sign >= 0 else min(b, have[0] + 7)
+            want[sign, to] = want.get((sign, to), 0) + whole[sign, b]
+    got = {(r["sign"], r["bucket"]): r["n"] for r in sketches.dd_buckets(df, "v", max_bins=8).collect()}
+    assert got == want and sum(got.values()) == 41
+    low = min(b for s, b in got if s == -1)
+    assert max(b for s, b in got if s == -1) == low + 7 and got[-1, low] == 1
+
+
+def test_successors_against_a_search(spark, monkeypatch):
+    import bisect
+    import random
+
+    monkeypatch.setattr(joins, "CHUNKS", 3)
+    rng = random.Random(6)
+    keys = sorted({rng.randint(-500, 500) for _ in range(60)})
+    probes = [rng.randint(-600, 600) for _ in range(200)] + [keys[0], keys[-1]] * 2 + [None]
+    k = spark.createDataFrame([(x,) for x in keys] + [(None,), (keys[3],)], "k long")
+    p = spark.createDataFrame([(i, x) for i, x in enumerate(probes)], "i long, p long")
+    for strict in (False, True):
+        got = {r["i"]: r["found"] for r in joins.successor(p, k, "p", "k", strict, 10.0).collect()}
+        assert len(got) == len(probes)
+        for i, x in enumerate(probes):
+            at = None if x is None else (bisect.bisect_right if strict else bisect.bisect_left)(keys, x)
+            assert got[i] == (keys[at] if at is not None and at < len(keys) else None)
+
+
+def test_nearest_against_all_distances(spark):
+    import random
+
+    rng = random.Random(7)
+    points = [(i, rng.choice([0, 1, 50]) + rng.random(), rng.choice([0, 3]) + rng.random()) for i in range(120)]
+    asked = [(q, rng.uniform(-10, 60), rng.uniform(-5, 8)) for q in range(25)]
+    pts, qs = spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(asked, "q long, qx double, qy double")
+    for most in (None, 2.0):
+        got = {(r["q"], r["rank"]): r["id"] for r in joins.nearest(pts, qs, 3, 0.5, most).collect()}
+        want = {}
+        for q, x, y in asked:
+            far = sorted(((a - x) * (a - x) + (b - y) * (b - y), i) for i, a, b in points)
+            want |= {(q, n + 1): i for n, (d, i) in enumerate(far[:3]) if most is None or d <= most * most}
+        assert got == want
+
+
+ORDERED = ["sort_ints", "range_scan", "prefix_scan", "graph_edges", "pq_drain", "partial_sort", "topk_largest"]
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_ordered_results_come_in_order(spark, name):
+    """Row by row as their SQL gives them, without sorting either side."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("orders", "lineitem", "pages", "part", "events", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    sql = catalogue.oracles()[name]
+    df = catalogue.queries()[name](spark, DATA)
+    found = con.execute(sql)
+    names = [d[0] for d in found.description]
+    want = [tuple(r[names.index(c)] for c in df.columns) for r in found.fetchall()]
+    got = [tuple(r) for r in df.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    if "ORDER BY" in sql.upper().rsplit(")", 1)[-1]:
+        assert got == want

@@ -3,12 +3,14 @@
 A string of SPAN bytes that stands in two documents has the same anchor in both: the smallest hash among its K-grams.
 1. Anchors of all documents are counted in hash buckets; those of one document only cannot lie in a repeat.
 2. Around each shared anchor, the bytes of the strings it anchors (under 2 * SPAN) go to the anchor's bucket. Equal
-   contexts become one string with its smallest doc_id.
+   contexts become one string with its smallest doc_id: first within a group of documents, so that a passage sends one
+   string for each group however many of its documents have it, then in the bucket.
 3. In a bucket, strings are dealt into shards. Each shard's suffixes are sorted once, for its transform. The shards'
    transforms are merged by refining an interleave, one symbol a round (a stable partition of shard numbers by the
    symbols before them), never by sorting suffixes of two shards together. Block bounds kept along with the interleave
    are the common prefixes: after SPAN rounds a block holds the rows that share SPAN bytes, a repeated interval.
-4. Each block's smallest doc_id goes back to its occurrences; documents lose what they share with smaller ids.
+4. Each block's smallest doc_id goes back to the groups that sent its contexts, named by anchor and digest; their documents
+   look their own contexts up and lose what they share with smaller ids.
 
 Buckets and groups grow in number with the input, not in size. Nothing is capped or sampled.
 """
@@ -30,7 +32,7 @@ from lodestar.llm.common import GROUP_BYTES, Scratch, shuffle_partitions, spread
 
 SHARDS = 8
 SHARD_ROWS = 1 << 17
-ROWS = 1 << 18  # suffix rows of one merge, but for the last anchor's
+ROWS = 1 << 15  # suffix rows of one merge, but for the last anchor's: its arrays stay in a core's cache
 NONE = np.iinfo(np.int64).max
 
 
@@ -120,8 +122,8 @@ def merge(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return interleave, starts
 
 
-def smallest_owner(strings: list[bytes], owners: np.ndarray, span: int, shards: int = SHARDS) -> list[np.ndarray]:
-    """For each string, by start: the smallest owner among strings that hold the same `span` bytes anywhere."""
+def smallest_owner(strings: list[bytes], owners: np.ndarray, span: int, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
+    """(string, owner): for each start of each string, in order, the smallest owner among strings that hold the same `span` bytes anywhere."""
     shards = min(255, max(shards, sum(map(len, strings)) // SHARD_ROWS))  # a shard's sort holds up to 100 bytes a row
     deal = [list(range(k, len(strings), shards)) for k in range(min(shards, len(strings)))]
     parts = [Transform([strings[i] for i in part]) for part in deal]
@@ -134,10 +136,11 @@ def smallest_owner(strings: list[bytes], owners: np.ndarray, span: int, shards:
     first = np.flatnonzero(starts)
     low = np.repeat(np.minimum.reduceat(owners[string], first), np.diff(np.append(first, len(string))))
     lengths = np.array([len(s) for s in strings], np.int64)
-    base = np.cumsum(lengths + 1) - (lengths + 1)
-    flat = np.empty(len(string), np.int64)
-    flat[base[string] + offset] = low
-    return [flat[b : b + max(0, n - span + 1)] for b, n in zip(base.tolist(), lengths.tolist(), strict=True)]
+    counts = np.maximum(lengths - span + 1, 0)
+    base = np.cumsum(counts) - counts
+    flat, whole = np.empty(int(counts.sum()), np.int64), offset < counts[string]
+    flat[base[string[whole]] + offset[whole]] = low[whole]
+    return np.repeat(np.arange(len(strings)), counts), flat
 
 
 def _bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
@@ -209,111 +212,173 @@ def _shared(occurrences: DataFrame, groups: int) -> DataFrame:
     return occurrences.groupBy("bucket").applyInPandas(shared, "g int, bucket int, grams binary")
 
 
-CONTEXTS = "bucket int, g int, doc_id binary, row binary, n binary, first binary, which binary, more binary, grams binary, bytes binary"
+CONTEXTS = "bucket int, g int, owner binary, last binary, more binary, grams binary, bytes binary"
+SPANS = "g int, grams binary, digests binary, start binary, end binary, low binary"
+
+
+def _empty(schema: str) -> pd.DataFrame:
+    return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
 
 
 def _contexts(docs: DataFrame, shared: DataFrame, span: int, buckets: int) -> DataFrame:
-    """Step 2: per bucket, the contexts of shared anchors in a group of documents."""
+    """Step 2: per bucket, the different contexts of shared anchors in a group of documents, with their first and last doc_id."""
 
     def cut(texts: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
         if texts.empty or keys.empty:
-            return pd.DataFrame(columns=[c.split()[0] for c in CONTEXTS.split(", ")])
+            return _empty(CONTEXTS)
         known = np.sort(np.concatenate([np.frombuffer(x, "<u4").astype(np.uint64) | np.uint64(b << 32) for b, x in zip(keys["bucket"], keys["grams"], strict=True)]))
-        pieces = []
-        for doc_id, row, text in zip(texts["doc_id"].tolist(), texts["row"].tolist(), texts["text"], strict=True):
+        found, ids, strings = [], [], []
+        for doc_id, text in zip(texts["doc_id"].tolist(), texts["text"], strict=True):
             raw = _text(text)
-            grams, at, first, last = anchors(raw, span)
+            grams, _, first, last = anchors(raw, span)
             key = (_bucket_of(grams, buckets).astype(np.uint64) << np.uint64(32)) | (grams >> np.uint64(32))
             i = np.flatnonzero(known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key)
-            if len(i):
-                pieces.append((doc_id, row, grams[i], first[i], [raw[a : b + span] for a, b in zip(first[i].tolist(), last[i].tolist(), strict=True)]))
-        if not pieces:
-            return pd.DataFrame(columns=[c.split()[0] for c in CONTEXTS.split(", ")])
-        owner = np.repeat(np.arange(len(pieces)), [len(p[2]) for p in pieces])
-        grams, first = (np.concatenate([p[k] for p in pieces]) for k in (2, 3))
-        strings = [s for p in pieces for s in p[4]]
-        ids, rows = np.array([p[0] for p in pieces], "<i8"), np.array([p[1] for p in pieces], "<i8")
+            found.append(grams[i])
+            ids.append(np.full(len(i), doc_id, np.int64))
+            strings += [raw[a:b] for a, b in zip(first[i].tolist(), (last[i] + span).tolist(), strict=True)]
+        if not strings:
+            return _empty(CONTEXTS)
+        grams, ids = np.concatenate(found), np.concatenate(ids)
+        order, first = _alike(grams, _digests(strings))
+        owner, last = np.minimum.reduceat(ids[order], first), np.maximum.reduceat(ids[order], first)
+        one, grams = order[first], grams[order[first]].astype("<u8")
         out = []
         for b, i in _sliced(_bucket_of(grams, buckets), buckets):
-            docs_here, n = np.unique(owner[i], return_counts=True)
-            once: dict[tuple[int, bytes], int] = {}  # equal contexts of the group travel once
-            which = np.fromiter((once.setdefault((g, strings[x]), len(once)) for g, x in zip(grams[i].tolist(), i.tolist(), strict=True)), "<i4", len(i))
-            more = np.array([len(s) - span for _, s in once], np.uint8)
-            out.append((b, int(texts["g"].iloc[0]), ids[docs_here].tobytes(), rows[docs_here].tobytes(), n.astype("<i4").tobytes(), first[i].astype("<i4").tobytes(), which.tobytes(),
-                        more.tobytes(), np.array([g for g, _ in once], "<u8").tobytes(), _squeeze(b"".join(s for _, s in once))))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in CONTEXTS.split(", ")])
+            each = [strings[k] for k in one[i].tolist()]
+            more = np.array([len(x) - span for x in each], np.uint8)
+            out.append((b, int(texts["g"].iloc[0]), owner[i].astype("<i8").tobytes(), last[i].astype("<i8").tobytes(), more.tobytes(), grams[i].tobytes(), _squeeze(b"".join(each))))
+        return pd.DataFrame(out, columns=_empty(CONTEXTS).columns)
 
     return docs.groupBy("g").cogroup(shared.groupBy("g")).applyInPandas(cut, CONTEXTS)
 
 
-def repeated_runs(grams: np.ndarray, strings: list[bytes], which: np.ndarray, doc: np.ndarray, span: int, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(occurrence, from, to): runs of starts, within each occurrence's context, whose span bytes a smaller doc also has.
+def _digests(strings: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, strings), np.uint64, len(strings))
 
-    A context is an anchor (grams) and a string; occurrence k is context which[k] in doc[k]. Contexts may be given twice.
-    """
-    whole: dict[tuple[int, bytes], int] = {}
-    which = np.fromiter((whole.setdefault(x, len(whole)) for x in zip(grams.tolist(), strings, strict=True)), np.int64, len(strings))[which]
-    keys = list(whole)
-    owner = np.full(len(keys), NONE)
-    np.minimum.at(owner, which, doc)
-    anchor = np.array([k[0] for k in keys], np.uint64)
-    order = np.argsort(anchor, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]]))
-    low: list[np.ndarray | None] = [None] * len(keys)
-    batch: list[int] = []
-    size = 0
+
+def _alike(grams: np.ndarray, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first): contexts of one anchor and digest (128 bits in all) side by side, and where each different one begins."""
+    order = np.lexsort((digests, grams))
+    g, d = grams[order], digests[order]
+    return order, np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])]))
+
+
+def owned_runs(grams: np.ndarray, strings: list[bytes], owner: np.ndarray, span: int, rows: int = ROWS) -> tuple[np.ndarray, ...]:
+    """(context, first, last, smallest owner): the runs of starts of one owner, in order, of different contexts sorted by anchor."""
+    edges = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1], [True]]))
+    sizes = np.diff(edges)
+    alone = edges[:-1][sizes == 1]  # an anchor's only string has nothing to be merged with
+    found = [(alone, np.zeros(len(alone), np.int64), np.array([len(strings[i]) - span for i in alone.tolist()], np.int64), owner[alone])]
+    lengths = np.array([len(x) + 1 for x in strings], np.int64)
+    batch, size = [], 0
 
     def flush():
-        for i, found in zip(batch, smallest_owner([keys[i][1] for i in batch], owner[batch], span), strict=True):
-            low[i] = found
-
-    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
-        if b - a > 1:  # a string that is alone with its anchor has nothing to be merged with
-            batch += order[a:b].tolist()
-            size += sum(len(keys[i][1]) + 1 for i in order[a:b].tolist())
-            if size >= rows:
-                flush()
-                batch, size = [], 0
+        members = np.concatenate([np.arange(a, b) for a, b in batch])
+        string, low = smallest_owner([strings[i] for i in members.tolist()], owner[members], span)
+        new = np.concatenate([[True], string[1:] != string[:-1]])
+        place = np.arange(len(string)) - np.maximum.accumulate(np.where(new, np.arange(len(string)), 0))
+        first = np.flatnonzero(new | np.concatenate([[True], low[1:] != low[:-1]]))
+        last = np.append(first[1:], len(string)) - 1
+        found.append((members[string[first]], place[first], place[last], low[first]))
+
+    many = sizes > 1
+    totals = np.add.reduceat(lengths, edges[:-1])
+    for a, b, n in zip(edges[:-1][many].tolist(), edges[1:][many].tolist(), totals[many].tolist(), strict=True):
+        batch.append((a, b))
+        size += n
+        if size >= rows:
+            flush()
+            batch, size = [], 0
     if batch:
         flush()
-    later = np.flatnonzero(doc > owner[which])  # another document has the whole context: all its strings go
-    out = [(later, np.zeros(len(later), np.int64), np.array([len(k[1]) - span for k in keys], np.int64)[which[later]])]
-    for i in np.flatnonzero(doc == owner[which]).tolist():
-        found = low[which[i]]
-        if found is not None:
-            hit = np.flatnonzero(found < doc[i])
-            if len(hit):
-                cuts = np.flatnonzero(np.diff(hit) > 1)
-                starts, ends = hit[np.concatenate([[0], cuts + 1])], hit[np.concatenate([cuts, [len(hit) - 1]])]
-                out.append((np.full(len(starts), i), starts, ends))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+    order = np.argsort(columns[0], kind="stable")
+    return tuple(c[order] for c in columns)
 
 
 def _spans(contexts: DataFrame, span: int, groups: int) -> DataFrame:
-    """Steps 3 and 4: per group of documents, the byte runs that smaller documents have."""
+    """Step 3: per group of documents, the runs of starts in its contexts that some document before its last one has: (start, end, that document)."""
 
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, row, first, grams, strings, context, doc_of = [], [], [], [], [], [], []
+        strings: list[bytes] = []
+        columns = []
         for r in rows.itertuples(index=False):
-            more = np.frombuffer(r.more, np.uint8).astype(np.int64)
-            n, raw = np.frombuffer(r.n, "<i4"), _expand(r.bytes)
+            more, raw = np.frombuffer(r.more, np.uint8).astype(np.int64), _expand(r.bytes)
             ends = np.cumsum(more + span)
-            context.append(np.frombuffer(r.which, "<i4").astype(np.int64) + len(strings))
             strings += [raw[a:b] for a, b in zip((ends - more - span).tolist(), ends.tolist(), strict=True)]
-            doc_of.append(np.repeat(np.arange(len(n)), n) + sum(map(len, ids)))
-            ids.append(np.frombuffer(r.doc_id, "<i8"))
-            row.append(np.frombuffer(r.row, "<i8"))
-            first.append(np.frombuffer(r.first, "<i4"))
-            grams.append(np.frombuffer(r.grams, "<u8"))
-        ids, row, first, grams, context, doc_of = map(np.concatenate, (ids, row, first, grams, context, doc_of))
-        i, a, b = repeated_runs(grams, strings, context, ids[doc_of], span)
-        doc = doc_of[i]
-        group = np.repeat(rows["g"].to_numpy(np.int64), [len(x) // 8 for x in rows["doc_id"]])[doc]
-        start, end = first[i] + a, first[i] + b + span
-        out = [(g, ids[doc[k]].tobytes(), row[doc[k]].tobytes(), start[k].astype("<i8").tobytes(), end[k].astype("<i8").tobytes()) for g, k in _sliced(group, groups)]
-        return pd.DataFrame(out, columns=["g", "doc_id", "row", "start", "end"])
-
-    return contexts.groupBy("bucket").applyInPandas(merged, "g int, doc_id binary, row binary, start binary, end binary")
+            columns.append((np.frombuffer(r.grams, "<u8"), np.frombuffer(r.owner, "<i8"), np.frombuffer(r.last, "<i8"), np.full(len(more), r.g, np.int64)))
+        grams, owners, lasts, group = (np.concatenate(c) for c in zip(*columns, strict=True))
+        digests = _digests(strings)
+        order, first = _alike(grams, digests)
+        which = np.empty(len(order), np.int64)
+        which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        one = order[first]
+        context, start, end, who = owned_runs(grams[one], [strings[i] for i in one.tolist()], np.minimum.reduceat(owners[order], first), span)
+        at = np.searchsorted(context, which)
+        many = np.searchsorted(context, which, "right") - at
+        sent = np.repeat(np.arange(len(which)), many)
+        run = np.arange(len(sent)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(at, many)
+        needed = who[run] < lasts[sent]
+        sent, run = sent[needed], run[needed]
+        out = [(g, *(x[k].tobytes() for x in (grams[sent], digests[sent], start[run].astype(np.uint8), end[run].astype(np.uint8), who[run]))) for g, k in _sliced(group[sent], groups)]
+        return pd.DataFrame(out, columns=_empty(SPANS).columns)
+
+    return contexts.groupBy("bucket").applyInPandas(merged, SPANS)
+
+
+class Lookup:
+    """A group's answers of step 3: what each of its documents loses."""
+
+    def __init__(self, spans: pa.Table, span: int):
+        self.span, columns = span, []
+        for name, kind in (("grams", "<u8"), ("digests", "<u8"), ("start", np.uint8), ("end", np.uint8), ("low", "<i8")):
+            parts = [np.frombuffer(x, kind) for x in spans[name].to_pylist()]
+            columns.append(np.concatenate(parts) if parts else np.zeros(0, kind))
+        key = self._key(*columns[:2])
+        order = np.argsort(key, kind="stable")
+        self.key, (self.grams, self.digests, self.start, self.end, self.low) = key[order], (c[order] for c in columns)
+        self.known = np.unique(self.grams)
+
+    @staticmethod
+    def _key(grams: np.ndarray, digests: np.ndarray) -> np.ndarray:
+        return _mix(grams.astype(np.uint64)) ^ digests.astype(np.uint64)
+
+    def lost(self, ids: list[int | None], texts: list[bytes]) -> list[list[tuple[int, int]]]:
+        """Per document the byte ranges, apart and ascending."""
+        out: list[list[tuple[int, int]]] = [[] for _ in ids]
+        if not len(self.known):
+            return out
+        found, strings = [], []
+        for n, (doc_id, raw) in enumerate(zip(ids, texts, strict=True)):
+            if doc_id is None or len(raw) < self.span:
+                continue
+            grams, _, first, last = anchors(raw, self.span)
+            i = np.flatnonzero(self.known[np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)] == grams)
+            if len(i):
+                found.append((grams[i], first[i], np.full(len(i), n, np.int64), np.full(len(i), doc_id, np.int64)))
+                strings += [raw[a:b] for a, b in zip(first[i].tolist(), (last[i] + self.span).tolist(), strict=True)]
+        if not strings:
+            return out
+        grams, first, doc, doc_id = (np.concatenate(c) for c in zip(*found, strict=True))
+        digests = _digests(strings)
+        key = self._key(grams, digests)
+        at = np.searchsorted(self.key, key)
+        many = np.searchsorted(self.key, key, "right") - at
+        k = np.repeat(np.arange(len(key)), many)
+        run = np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(at, many)
+        hit = (self.grams[run] == grams[k]) & (self.digests[run] == digests[k]) & (self.low[run] < doc_id[k])
+        k, run = k[hit], run[hit]
+        # all documents on one line, far enough apart that their ranges never meet
+        base = np.cumsum([0, *(len(x) + 1 for x in texts)])
+        start = base[doc[k]] + first[k] + self.start[run]
+        end = base[doc[k]] + first[k] + self.end[run].astype(np.int64) + self.span
+        if len(start):
+            for a, b in _united(start, end):
+                n = int(np.searchsorted(base, a, "right")) - 1
+                out[n].append((a - int(base[n]), b - int(base[n])))
+        return out
 
 
 def _united(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -337,33 +402,25 @@ def repeats(docs: DataFrame, span: int = 50, keep_text: bool = False) -> DataFra
     groups = max(2 * shuffle_partitions(spark), math.ceil(total / GROUP_BYTES))
     buckets = max(shuffle_partitions(spark), math.ceil(total / (4 * GROUP_BYTES)))  # fewer: a piece goes from each bucket to each group
     text = F.col("text").cast("string")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"), spread(groups, F.col("doc_id").cast("long"), F.xxhash64(text)).alias("g"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), spread(groups, F.col("doc_id").cast("long"), F.xxhash64(text)).alias("g"))
     with_id = keyed.where("doc_id is not null").where(F.octet_length("text") >= span)
     shared = scratch.write(_shared(_occurrences(with_id.select("text", "g"), span, buckets, groups), groups), "shared")
     contexts = _contexts(with_id, shared, span, buckets)
     found = scratch.write(_spans(contexts, span, groups), "spans")
     scratch.drop("shared")
-    # names of their own for the helper columns, whatever columns `docs` has
-    g, row = (next(f"{c}{'_' * k}" for k in range(99) if f"{c}{'_' * k}" not in docs.columns) for c in ("_g", "_row"))
+    g = next(f"_g{'_' * k}" for k in range(99) if f"_g{'_' * k}" not in docs.columns)  # whatever columns `docs` has
     rest = [c for c in docs.columns if c not in ("doc_id", "text")] if keep_text else []
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *rest, F.xxhash64(text).alias(row), spread(groups, F.col("doc_id").cast("long"), F.xxhash64(text)).alias(g))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *rest, spread(groups, F.col("doc_id").cast("long"), F.xxhash64(text)).alias(g))
     digest = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
     columns = [c for c in docs.columns if c in ("doc_id", "text") or c in rest] if keep_text else ["doc_id", *digest]
     types = dict(whole.dtypes) | dict.fromkeys(("n_bytes", "n_removed", "n_spans"), "bigint") | {"kept_sha256": "string"}
     kinds = {c: types[c] if keep_text else {"doc_id": "bigint"}.get(c, {pa.int64(): "bigint", pa.string(): "string"}.get(digest.get(c))) for c in columns}
 
     def removed(texts: pa.Table, spans: pa.Table) -> pa.Table:
-        by: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        if spans.num_rows:
-            ids, rows, start, end = (np.concatenate([np.frombuffer(x, "<i8") for x in spans[c].to_pylist()]) for c in ("doc_id", "row", "start", "end"))
-            order = np.lexsort((rows, ids))
-            ids, rows, start, end = ids[order], rows[order], start[order], end[order]
-            first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])]))
-            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(ids)], strict=True):
-                by[int(ids[a]), int(rows[a])] = _united(start[a:b], end[a:b])
+        values = texts["text"].to_pylist()
+        whole_texts = [_text(v) for v in values]
         out, kept_texts = [], []
-        for doc_id, key, value in zip(*(texts[c].to_pylist() for c in ("doc_id", row, "text")), strict=True):
-            raw, gone = _text(value), by.get((doc_id, key), [])
+        for value, raw, gone in zip(values, whole_texts, Lookup(spans, span).lost(texts["doc_id"].to_pylist(), whole_texts), strict=True):
             edges = [0, *(x for pair in gone for x in pair), len(raw)]
             kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
             out.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))

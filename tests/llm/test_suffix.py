@@ -6,26 +6,32 @@ import numpy as np
 from lodestar.llm import suffix
 
 
-def brute(rows, span):
-    """doc_id -> (n_bytes, n_removed, n_spans, sha) by a dictionary of all strings."""
+def brute_rows(rows, span):
+    """[(doc_id, n_bytes, n_removed, n_spans, sha)] of each row, by a dictionary of all strings; rows without an id stand apart."""
     low = {}
-    raw = {i: (t or "").encode() for i, t in rows}
-    for i, b in raw.items():
-        for p in range(len(b) - span + 1):
+    for i, t in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - span + 1 if i is not None else 0):
             s = b[p : p + span]
             low[s] = min(low.get(s, i), i)
-    out = {}
-    for i, b in raw.items():
+    out = []
+    for i, t in rows:
+        b = (t or "").encode()
         gone = np.zeros(len(b) + 1, bool)
-        for p in range(len(b) - span + 1):
+        for p in range(len(b) - span + 1 if i is not None else 0):
             if low[b[p : p + span]] < i:
                 gone[p : p + span] = True
         gone = gone[: len(b)]
-        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        out[i] = (len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest())
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        out.append((i, len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
     return out
 
 
+def brute(rows, span):
+    """doc_id -> the rest of brute_rows()."""
+    return {r[0]: r[1:] for r in brute_rows(rows, span)}
+
+
 def corpus(seed=0):
     rng = random.Random(seed)
     words = ["the", "of", "ñandú", "ing", "東京", "a", "tion", "x", "0"]
@@ -61,10 +67,10 @@ def test_merge_equals_sorting_all_suffixes():
     for _ in range(20):
         strings = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 30))).encode() for _ in range(rng.randint(1, 20))]
         owners = np.array([rng.randint(0, 9) for _ in strings])
-        got = suffix.smallest_owner(strings, owners, 6, shards=4)
-        for s, found in zip(strings, got, strict=True):
+        string, low = suffix.smallest_owner(strings, owners, 6, shards=4)
+        for k, s in enumerate(strings):
             want = [min(o for t, o in zip(strings, owners, strict=True) if s[p : p + 6] in t) for p in range(len(s) - 5)]
-            assert found.tolist() == want
+            assert low[string == k].tolist() == want
 
 
 def test_removal_equals_brute_force(spark):
@@ -75,14 +81,39 @@ def test_removal_equals_brute_force(spark):
         assert got == brute(rows, 50)
 
 
+def test_the_whole_table_equals_brute_force(spark):
+    from lodestar.llm.queries import op1_suffix_array_dedup
+
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: tuple(r)[1:] for r in op1_suffix_array_dedup(spark, "/root/testdata/sf0.01").collect()}
+    assert got == brute(rows, 50)
+
+
+def test_a_passage_in_every_document(spark, monkeypatch):
+    """Many groups and buckets; the passage stands between bytes of each document's own, or alone, twice, or cut off."""
+    monkeypatch.setattr(suffix, "GROUP_BYTES", 2000)
+    rng = random.Random(2)
+    passage = "".join(rng.choice("abcdef ") for _ in range(180))
+    rows = []
+    for i in range(300):
+        own = ["".join(rng.choice("uvwxyz") for _ in range(rng.randint(0, 30))) for _ in range(3)]
+        part = rng.choice([passage, passage, passage[: rng.randint(40, 180)], passage[rng.randint(0, 130) :], passage + passage, ""])
+        rows.append((1000 - i * 3, own[0] + part + own[1] + (passage[20:90] if i % 5 == 0 else "") + own[2]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert {r["doc_id"]: tuple(r)[1:] for r in suffix.repeats(docs).collect()} == brute(rows, 50)
+
+
 def test_kept_texts_and_defined_cases(spark, odd):
-    rows = suffix.repeats(odd).collect()
-    assert len(rows) == odd.count()
-    got = {r["doc_id"]: r for r in rows if r["doc_id"] not in (None, 3)}
-    assert got[10]["n_removed"] == got[10]["n_bytes"] and got[10]["n_spans"] == 1 and got[7]["n_removed"] == 0
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    rows += [(3, "the cat sat " * 900), (3, "the cat sat " * 900), (None, "the cat sat " * 900)]  # repeated rows, and one without an id
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = suffix.repeats(docs).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(brute_rows(rows, 50), key=str)
+    lost = {(r["doc_id"], r["n_removed"]) for r in found if r["n_removed"]}
+    assert lost == {(7, 10800), (10, 10800)}  # by 3, the smallest that has it
     kept = suffix.repeats(odd, keep_text=True)
     assert kept.columns == odd.columns and kept.dtypes == odd.dtypes
-    texts = {r["doc_id"]: r["text"] for r in kept.collect() if r["doc_id"] not in (None, 3)}
-    want = {r["doc_id"]: r["text"] for r in odd.collect() if r["doc_id"] not in (None, 3)}
-    assert texts == want | {10: ""}
-    assert suffix.repeats(odd.limit(0)).count() == 0
+    want = sorted((str(r) for r in odd.collect() if r["doc_id"] != 10))
+    assert sorted(str(r) for r in kept.collect() if r["doc_id"] != 10) == want
+    assert [r["text"] for r in kept.collect() if r["doc_id"] == 10] == [""]
+    assert suffix.repeats(odd.limit(0)).count() == 0 and suffix.repeats(odd.limit(0), keep_text=True).count() == 0

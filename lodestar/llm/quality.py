@@ -5,7 +5,8 @@ interpolation weights are tables derived from those counts, sharded by gram. The
 documents are joined with the tables, order by order, and the probabilities return to the group, where each document's
 perplexity is taken over its whole text. Documents above their language's threshold are rejected: a high quantile of
 perplexity among trusted documents that were kept out of the counts. It is that of a log-normal fit, since a sample of a
-hundred has no 0.999 quantile of its own but its maximum, which a single odd document moves.
+hundred has no 0.999 quantile of its own but its maximum, which a single odd document moves. MARGIN is left above it for
+clean text that holds a little of what no trusted text has, such as a key or an address.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from lodestar.llm.common import GROUP_BYTES, Scratch, shuffle_partitions, spread
 
 ORDER = 4
 CALIBRATION = 5  # one in so many trusted documents sets thresholds instead of training
-QUANTILE = 0.999
+QUANTILE, MARGIN = 0.999, 1.1
 FEW = 1 << 16  # languages whose thresholds are broadcast; more are joined
 PART = 1 << 19  # grams sorted at a time
 
@@ -122,10 +123,10 @@ def student(quantile: float, freedom: Column) -> Column:
 
 
 def limit(perplexity: Column, quantile: float) -> Column:
-    """Aggregate: the quantile of a further draw from the log-normal distribution that the values come from; null of fewer than two."""
+    """Aggregate: MARGIN times the quantile of a further draw from the log-normal distribution that the values come from; null of fewer than two."""
     log = F.log(perplexity)
     n = F.count(log)
-    return F.when(n > 1, F.exp(F.avg(log) + student(quantile, n - 1) * F.stddev_samp(log) * F.sqrt(1 + 1 / n)))
+    return F.when(n > 1, MARGIN * F.exp(F.avg(log) + student(quantile, n - 1) * F.stddev_samp(log) * F.sqrt(1 + 1 / n)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:

@@ -63,7 +63,7 @@ def test_quality_keeps_clean_and_rejects_junk(spark, odd):
 
 
 def test_thresholds_against_plain_statistics(spark):
-    """By language: exp(mean + t sd sqrt(1 + 1/n)) of log perplexities of the trusted documents left out; ties are kept."""
+    """By language: MARGIN * exp(mean + t sd sqrt(1 + 1/n)) of log perplexities of the trusted documents left out; ties are kept."""
     from statistics import mean, stdev
 
     rng = random.Random(4)
@@ -82,7 +82,7 @@ def test_thresholds_against_plain_statistics(spark):
             logs[r["lang"]].append(math.log(r["perplexity"]))
 
     def limit(x):
-        return math.exp(mean(x) + spark.range(1).select(quality.student(0.9, F.lit(len(x) - 1))).first()[0] * stdev(x) * math.sqrt(1 + 1 / len(x))) if len(x) > 1 else None
+        return quality.MARGIN * math.exp(mean(x) + spark.range(1).select(quality.student(0.9, F.lit(len(x) - 1))).first()[0] * stdev(x) * math.sqrt(1 + 1 / len(x))) if len(x) > 1 else None
 
     overall = limit([x for v in logs.values() for x in v])
     assert limit(logs["en"]) and not limit(logs.get("zz", []))

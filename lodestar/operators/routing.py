@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.mixers import GOLDEN32, LOW32_A, LOW32_B, M32, mix64, unsigned_key
+from lodestar.functions.mixers import GOLDEN32, GOLDEN64, LOW32_A, LOW32_B, M32, MIX_A, MIX_B
 
 VIRTUAL = 160
 
@@ -70,12 +72,33 @@ def ring_route(keys: DataFrame, nodes: list[tuple[str, int, int]], key: str) ->
 
 
 def rendezvous(keys: DataFrame, nodes: list[tuple[str, int, int]], key: str) -> DataFrame:
-    """keys with `node`: the one of the highest unsigned score; a weight takes the best of as many scores; ties to the first name."""
-    def score(h: int) -> Column:
-        return unsigned_key(mix64(F.shiftleft(F.lit(h).cast("long"), 32).bitwiseOR(F.col(key))))
-
-    entries = []
-    for k, (name, weight, h) in enumerate(sorted(nodes)):
-        each = [score(h), *(score(_finalise((h + r * GOLDEN32) & M32)) for r in range(1, weight))]
-        entries.append(F.struct((F.greatest(*each) if len(each) > 1 else each[0]).alias("score"), F.lit(-k).alias("order"), F.lit(name).alias("node")))
-    return keys.withColumn("node", F.array_max(F.array(*entries))["node"])
+    """keys with `node`: the one of the highest unsigned score; a weight takes the best of as many scores; ties to the first name.
+
+    A batch of keys is scored against one node after another; a null key has no node.
+    """
+    ordered = sorted(nodes)
+    names = np.array([name for name, _, _ in ordered], object)
+
+    @F.pandas_udf("string")
+    def routed(k: pd.Series) -> pd.Series:
+        known = k.notna().to_numpy()
+        low = k[known].to_numpy(np.int64).view(np.uint64)
+        best, at = np.zeros(len(low), np.uint64), np.zeros(len(low), np.int64)
+        for n, (_, weight, h) in enumerate(ordered):
+            for r in range(weight):
+                score = _mixed((np.uint64(h if not r else _finalise((h + r * GOLDEN32) & M32)) << np.uint64(32)) | low)
+                better = score > best
+                best[better], at[better] = score[better], n
+        out = np.full(len(k), None, object)
+        out[known] = names[at]
+        return pd.Series(out)
+
+    return keys.withColumn("node", routed(F.col(key)))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """mixers.mix64 over arrays."""
+    x = x + np.uint64(GOLDEN64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_A)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_B)
+    return x ^ (x >> np.uint64(31))

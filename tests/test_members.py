@@ -178,3 +178,29 @@ def test_reservoir_against_row_by_row(spark, monkeypatch):
 def test_every_row_is_equally_likely():
     hits = Counter(p for seed in range(3000) for p in sampling.sampled_positions(40, 10, seed))
     assert all(abs(hits[p] - 750) < 130 for p in range(40))
+
+
+def test_rendezvous_weights_and_ties(spark):
+    """Each node's best of as many scores as its weight; equal scores go to the first name; null keys have no node."""
+    from lodestar.functions.mixers import GOLDEN32
+    from lodestar.operators import routing
+
+    def mix(x):
+        return streams.splitmix((x) & streams.M64, 1)[0]
+
+    nodes = [("b", 3, 12345), ("a", 1, 999), ("twin", 1, 999), ("c", 2, 2**32 - 1)]
+    rng = random.Random(1)
+    keys = [rng.randrange(1 << 32) for _ in range(400)] + [0, (1 << 32) - 1]
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)] + [(-1, None)], "i long, k long")
+    got = {r["i"]: r["node"] for r in routing.rendezvous(df, nodes, "k").collect()}
+    assert got.pop(-1) is None
+
+    def score(h, k):
+        return mix(h << 32 | k)
+
+    for i, k in enumerate(keys):
+        best = {}
+        for name, weight, h in nodes:
+            best[name] = max(score(h if not r else routing._finalise((h + r * GOLDEN32) & 0xFFFFFFFF), k) for r in range(weight))
+        assert got[i] == min(best, key=lambda n: (-best[n], n))
+    assert "twin" not in got.values() and set(got.values()) == {"a", "b", "c"}

@@ -95,14 +95,14 @@ def build_index(rows: DataFrame, total: int, books: np.ndarray, scratch: Scratch
         for batch in batches:
             for k in range(batch.num_rows):
                 one = batch.slice(k, 1)
-                x = vectors.matrix(one["c_values"][0].as_py(), one["c_n"][0].as_py())
+                x = vectors.matrix(one["c_values"][0].as_py(), one["c_kind"][0].as_py(), one["c_n"][0].as_py())
                 codes = encode(x, books)
                 sums = sum(books[j][codes[:, j]] for j in range(len(books)))
                 norms, rest = (((v**2).sum(1)).astype("<f8").tobytes() for v in (sums, x - sums))
                 yield pa.RecordBatch.from_arrays([*one.columns, *(pa.array([c], pa.binary()) for c in (codes.astype(np.uint8).tobytes(), norms, rest))], names=[*one.schema.names, "codes", "norms", "rest"])
 
     packed = vectors.blocks(rows, vectors.block_count(total, vectors.CANDIDATES), "c", F.col("embedding").cast("array<double>"))
-    return scratch.write(packed.mapInArrow(coded, "c_block int, c_ids binary, c_values binary, c_n int, codes binary, norms binary, rest binary"), "index")
+    return scratch.write(packed.mapInArrow(coded, f"{vectors.schema('c')}, codes binary, norms binary, rest binary"), "index")
 
 
 def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, rest: np.ndarray, books: np.ndarray, k: int, rerank: int, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,7 +121,7 @@ def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, c
         far = ((x[at] - q[i]) ** 2).sum(1)
         if len(at) >= k:
             near = np.sqrt(np.partition(far, k - 1)[k - 1])
-            more = rough[i] <= near * near * (1 + 1e-9) + near * reach  # the k-th distance found, and whatever may reach it
+            more = rough[i] <= near * near * (1 + 1e-9) + near * reach + 1e-12 * ((q[i] ** 2).sum() + norms + rest)  # rounding, and the k-th distance found, and whatever may reach it
             more[at] = False
             more = np.flatnonzero(more)
             at, far = np.concatenate([at, more]), np.concatenate([far, ((x[more] - q[i]) ** 2).sum(1)])
@@ -162,7 +162,7 @@ def nearest(embeddings: DataFrame, queries: DataFrame | None = None, k: int = 10
         for batch in batches:
             for row in range(batch.num_rows):
                 one = {c: batch[c][row].as_py() for c in batch.schema.names}
-                q, x = vectors.matrix(one["q_values"], one["q_n"]), vectors.matrix(one["c_values"], one["c_n"])
+                q, x = vectors.matrix(one["q_values"], one["q_kind"], one["q_n"]), vectors.matrix(one["c_values"], one["c_kind"], one["c_n"])
                 q_ids, x_ids = vectors.ids(one["q_ids"]), vectors.ids(one["c_ids"])
                 codes = np.frombuffer(one["codes"], np.uint8).reshape(len(x), -1)
                 norms, rest = (np.frombuffer(one[c], "<f8") for c in ("norms", "rest"))
@@ -171,6 +171,6 @@ def nearest(embeddings: DataFrame, queries: DataFrame | None = None, k: int = 10
                     found = search(q[part], q_ids[part], x, x_ids, codes, norms, rest, books, k, rerank, t)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
-    found = vectors.cells(packed, index, vectors.block_count(total, vectors.CANDIDATES)).mapInArrow(searched, "query_id long, vec_id long, score double")
+    found = vectors.cells(packed, index).mapInArrow(searched, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

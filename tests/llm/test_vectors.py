@@ -135,3 +135,32 @@ def test_repeated_and_hot_ids(spark, monkeypatch):
 def test_vectors_beyond_64_bits_take_no_part(spark):
     df = spark.createDataFrame([(0, [1.0, 1.0]), (50, [3e30, 1.0]), (1, [2.0, 0.0]), (2, [-3e38, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_products(df).collect()] == [(0, 1, 1, 2 * 256 * 256)]
+
+
+def test_products_are_exact_in_the_kind_chosen():
+    rng = np.random.default_rng(8)
+    for scale, kind in ((250, np.float32), (1e6, np.float64), (5e8, np.int64)):
+        q, x = np.floor(rng.normal(size=(20, 64)) * scale), np.floor(rng.normal(size=(300, 64)) * scale)
+        assert topk.products_kind(q, x) is kind
+        exact = q.astype(np.int64) @ x.astype(np.int64).T
+        cutoff = np.sort(exact, axis=1)[:, -5]
+        lists, ids = topk.Block(x, np.arange(300)), np.arange(300)
+        i, j, total = topk.collected(topk._parts(q, kind), np.arange(1000, 1020), lists.lists(kind), ids, lists.longest, cutoff)
+        assert set(zip(i.tolist(), j.tolist(), total.tolist(), strict=True)) == {(a, b, exact[a, b]) for a, b in zip(*np.nonzero(exact >= cutoff[:, None]), strict=True)}
+
+
+def test_no_block_is_copied_for_each_block_it_meets(spark, monkeypatch, capsys):
+    """Query blocks shuffled once for each candidate block, 1 MB each, were over 500 GB at 6 GB of vectors."""
+    monkeypatch.setattr(vectors, "CANDIDATES", 64)
+    monkeypatch.setattr(vectors, "QUERIES", 4)
+    x, df = table(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for found in (topk.top_products(df), ann.nearest(df)):
+            capsys.readouterr()
+            found.explain()
+            plan = capsys.readouterr().out
+            assert "CartesianProduct" in plan and "explode" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -2,11 +2,13 @@
 
 A vector is the sum of one word from each of several full-dimensional codebooks, trained on residuals of a bounded sample and
 refitted by least squares to beam-search codes. Every vector x is indexed: codes by beam search, the squared norm of its
-reconstruction y and that of the residual r = x - y. Queries score codes by table lookup, in cells of blocks:
-|y|^2 - |r|^2 - 2 q.y + |q|^2 = |q - x|^2 + 2 (q - x).r. The best of a block are ranked again by exact distance on the
-original vectors, and after them every other vector that may still be nearer than the k-th of them: one with
-|q - x| < D has an error of at most 2 t D |r| in its score, where t bounds the cosine of q - x and r. The default for t is
-SIGMAS / sqrt(dimension), so many standard deviations of a random cosine; t = 1 makes the search exact. No depth is fixed.
+reconstruction y and that of the residual r = x - y. In cells of blocks, words are looked up and summed, and queries score
+the sums. With g = x.y / |x|^2 and s the part of r across x, q.x = (q.y + q.s) / g, so
+|q|^2 + |x|^2 - 2 q.y / g = |q - x|^2 + 2 q.s / g, and |q.s| <= t |q - x| |s|, where t bounds the cosine of q - x and s: both
+lie in part across x, and only those parts meet. Every vector that may so be as near as the k-th found is ranked by exact
+distance on the original vectors. The default for t is SIGMAS / sqrt(dimension), so many standard deviations of a random
+cosine; t = 1 makes the search exact. No depth is fixed. Where a block is met without a k-th distance, that of its best codes
+serves; PROBES blocks give all queries one before the others are met, and it falls within a task.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ CODEBOOKS, WORDS, BEAM = 16, 128, 8
 SAMPLE = 8192  # vectors that codebooks are trained on
 RERANK = 32  # best codes of each candidate block whose exact distances are taken first
 SIGMAS = 4.0
+PROBES, SHARE = 8, 64  # blocks that the first k-th distances come from, or one in SHARE if these are more
+LEAST = 0.1  # below this g, a code says too little: the vector is ranked exactly
 
 
 def _lloyd(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -62,26 +66,30 @@ def train(x: np.ndarray, codebooks: int = CODEBOOKS, words: int = WORDS, rounds:
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM, batch: int = 512) -> np.ndarray:
     """The codes (one byte-sized number per codebook) of the best sum that a beam search finds for each vector."""
     m, k, d = books.shape
-    flat = books.reshape(m * k, d)
-    dots, norms = (flat @ flat.T).reshape(m, k, m, k), (books**2).sum(2)
+    scale = np.abs(books).max() or 1.0
+    with np.errstate(all="ignore"):  # codes of vectors far beyond the sample's may be poor, but all distances are exact
+        x, books = (x / scale).astype(np.float32), (books / scale).astype(np.float32)
+    norms = (books**2).sum(2)
     out = np.zeros((len(x), m), np.int64)
     for at in range(0, len(x), batch):
-        part = x[at : at + batch]
-        n = len(part)
-        to_words = (part @ flat.T).reshape(n, m, k)
-        codes, error = np.zeros((n, 1, m), np.int64), np.zeros((n, 1))
+        rest = x[at : at + batch][:, None, :]  # of each vector, what each sum in its beam leaves
+        n = len(rest)
+        codes, error = np.zeros((n, 1, m), np.int64), np.zeros((n, 1), np.float32)
         for j in range(m):
-            # adding word w: |w|^2 - 2 x.w + 2 sum of dots with the words chosen so far
-            cost = error[:, :, None] + norms[j][None, None, :] - 2 * to_words[:, j][:, None, :]
-            for i in range(j):
-                cost = cost + 2 * dots[i, :, j][codes[:, :, i]]
-            flat_cost = cost.reshape(n, -1)
-            keep = min(beam if j < m - 1 else 1, flat_cost.shape[1])
-            top = np.argpartition(flat_cost, keep - 1, axis=1)[:, :keep]
-            error = np.take_along_axis(flat_cost, top, 1)
-            parent = top // k
+            # adding word w: |w|^2 - 2 w.rest
+            cost = np.matmul(rest.reshape(-1, d), (-2 * books[j]).T).reshape(n, -1, k)
+            cost += norms[j]
+            cost += error[:, :, None]
+            keep = min(beam if j < m - 1 else 1, cost.shape[1] * k)
+            few = min(keep, k)  # the best pairs have words among the `few` whose best pairs are best
+            words = np.argpartition(cost.min(1), few - 1, axis=1)[:, :few]
+            cost = np.take_along_axis(cost, words[:, None, :], 2).reshape(n, -1)
+            top = np.argpartition(cost, keep - 1, axis=1)[:, :keep]
+            error = np.take_along_axis(cost, top, 1)
+            parent, word = top // few, np.take_along_axis(words, top % few, 1)
             codes = np.take_along_axis(codes, parent[:, :, None], 1)
-            codes[:, :, j] = top % k
+            codes[:, :, j] = word
+            rest = np.take_along_axis(rest, parent[:, :, None], 1) - books[j][word]
         out[at : at + n] = codes[:, 0]
     return out
 
@@ -105,30 +113,69 @@ def build_index(rows: DataFrame, total: int, books: np.ndarray, scratch: Scratch
     return scratch.write(packed.mapInArrow(coded, f"{vectors.schema('c')}, codes binary, norms binary, rest binary"), "index")
 
 
+class Block:
+    """A candidate block with its reconstructions: columns y / g, |x|^2 and 2 t |s| / g of each vector."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, rest: np.ndarray, books: np.ndarray, t: float):
+        self.x, self.ids, self.kinds = x, ids, {}
+        xx = (x**2).sum(1)
+        xy = (xx + norms - rest) / 2
+        with np.errstate(all="ignore"):
+            g = xy / xx
+            across = np.sqrt(np.maximum(rest - (xx - xy) ** 2 / xx, 0) + 1e-12 * xx)
+            self.columns = np.column_stack([sum(books[j][codes[:, j]] for j in range(len(books))) / g[:, None], xx, 2 * t * across / g])
+        self.poor = ~((g >= LEAST) & np.isfinite(self.columns).all(1))
+        self.columns[self.poor] = 0
+        self.most = np.sqrt((self.columns[:, :-2] ** 2).sum(1).max()), self.columns[:, -2].max(), self.columns[:, -1].max()
+        self.largest = np.sqrt(max(xx.max(), self.most[1]))
+
+    def transposed(self, kind: type) -> np.ndarray:
+        if kind not in self.kinds:
+            self.kinds[kind] = columns = self.columns.astype(kind)
+            columns[self.poor, -2] = -np.finfo(kind).max / 4  # whatever the bound, these are ranked
+        return self.kinds[kind].T
+
+    def distances(self, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i))
+        for at in range(0, len(i), 8192):
+            part = slice(at, at + 8192)
+            out[part] = np.sqrt(((self.x[j[part]] - q[i[part]]) ** 2).sum(1))
+        return out
+
+    def near(self, q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, distance) of each vector found no farther from a query than its bound; infinite bounds are lowered first, in place."""
+        qq, known = (q**2).sum(1), np.where(np.isfinite(bound), bound, 0)
+        sizes = [self.largest, np.sqrt(qq.max()), known.max()]
+        kind = np.float32 if max(sizes) < 1e15 and min(self.largest, sizes[1]) > 1e-12 else np.float64
+        columns = self.transposed(kind)
+        new = np.flatnonzero(np.isinf(bound))
+        if len(new):
+            most = min(max(rerank, k) + 1, len(self.ids))  # one more, for the query itself
+            rough = np.column_stack([-2 * q[new], np.ones(len(new)), np.zeros(len(new))]).astype(kind) @ columns
+            j = np.argpartition(rough, most - 1, axis=1)[:, :most]
+            far = self.distances(q, np.repeat(new, most), j.ravel()).reshape(-1, most)
+            far[self.ids[j] == q_ids[new, None]] = np.inf
+            if most >= k:
+                bound[new] = np.partition(far, k - 1, axis=1)[:, k - 1]
+            known = np.where(np.isfinite(bound), bound, 0)
+        score = np.matmul(np.column_stack([-2 * q, np.ones(len(q)), -known]).astype(kind), columns, out=vectors.room("score", len(q), len(self.ids), np.dtype(kind).str))
+        rounding = (q.shape[1] + 8) * 2 * np.finfo(kind).eps * (2 * np.sqrt(qq) * self.most[0] + self.most[1] + known * self.most[2] + known**2 + qq)
+        limit = np.where(np.isfinite(bound), known**2 * (1 + 1e-9) - qq + rounding, np.inf).astype(kind)
+        seen = np.less_equal(score, limit[:, None], out=vectors.room("seen", *score.shape, "?"))
+        seen[vectors.own(q_ids, self.ids)] = False
+        i, j = np.divmod(np.flatnonzero(seen), len(self.ids))
+        far = self.distances(q, i, j)
+        reach = far <= bound[i]
+        return i[reach], j[reach], far[reach]
+
+
 def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, rest: np.ndarray, books: np.ndarray, k: int, rerank: int, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, vector ids, distances): the k nearest of one candidate block for each query, nearest first."""
-    tables = np.einsum("qd,mkd->mqk", q, books)
-    rough = np.repeat((norms - rest)[None, :], len(q), 0) + (q**2).sum(1)[:, None]
-    for m in range(len(books)):
-        rough -= 2 * tables[m][:, codes[:, m]]
-    rough[q_ids[:, None] == x_ids[None, :]] = np.inf
-    reach = 2 * t * np.sqrt(rest)
-    most = min(max(rerank, k), len(x))
-    first = np.argpartition(rough, most - 1, axis=1)[:, :most]
-    out = []
-    for i in range(len(q)):
-        at = first[i][np.isfinite(rough[i, first[i]])]
-        far = ((x[at] - q[i]) ** 2).sum(1)
-        if len(at) >= k:
-            near = np.sqrt(np.partition(far, k - 1)[k - 1])
-            more = rough[i] <= near * near * (1 + 1e-9) + near * reach + 1e-12 * ((q[i] ** 2).sum() + norms + rest)  # rounding, and the k-th distance found, and whatever may reach it
-            more[at] = False
-            more = np.flatnonzero(more)
-            at, far = np.concatenate([at, more]), np.concatenate([far, ((x[more] - q[i]) ** 2).sum(1)])
-        far = np.sqrt(far)
-        top = vectors.best(far, x_ids[at], k)
-        out.append((np.full(len(top), q_ids[i]), x_ids[at][top], far[top]))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    """(query ids, vector ids, distances): the k nearest of one candidate block, whose ids ascend, for each query, nearest first."""
+    best = vectors.Best(q_ids, k, np.full(len(q), -np.inf))
+    i, j, far = Block(x, x_ids, codes, norms, rest, books, t).near(q, q_ids, np.full(len(q), np.inf), k, rerank)
+    best.add(i, x_ids[j], -far)
+    i, vec, score = best.prune()
+    return q_ids[i], vec, -score
 
 
 def nearest(embeddings: DataFrame, queries: DataFrame | None = None, k: int = 10, every: int = 100, rerank: int = RERANK, cosine: float | None = None) -> DataFrame:
@@ -153,24 +200,43 @@ def nearest(embeddings: DataFrame, queries: DataFrame | None = None, k: int = 10
         asked = fine.where(F.col("vec_id") % every == 0)
     else:
         asked = vectors.prepared(queries, zero=True)[0].where(F.size("embedding") == books.shape[2])
-    packed = scratch.write(vectors.blocks(asked, vectors.block_count(asked.count(), vectors.QUERIES), "q", F.col("embedding").cast("array<double>")), "queries")
+    query_blocks = vectors.block_count(asked.count(), vectors.QUERIES)
+    packed = scratch.write(vectors.blocks(asked, query_blocks, "q", F.col("embedding").cast("array<double>")), "queries")
     held = spark.sparkContext.broadcast(books)
     t = min(1.0, SIGMAS / math.sqrt(books.shape[2])) if cosine is None else cosine
 
     def searched(batches):
-        books = held.value
+        books, best = held.value, {}
+        last, block = None, None
         for batch in batches:
             for row in range(batch.num_rows):
-                one = {c: batch[c][row].as_py() for c in batch.schema.names}
-                q, x = vectors.matrix(one["q_values"], one["q_kind"], one["q_n"]), vectors.matrix(one["c_values"], one["c_kind"], one["c_n"])
-                q_ids, x_ids = vectors.ids(one["q_ids"]), vectors.ids(one["c_ids"])
-                codes = np.frombuffer(one["codes"], np.uint8).reshape(len(x), -1)
-                norms, rest = (np.frombuffer(one[c], "<f8") for c in ("norms", "rest"))
+                one = {c: batch[c][row] for c in batch.schema.names}
+                if one["c_block"].as_py() != last:
+                    last = one["c_block"].as_py()
+                    x, x_ids = vectors.matrix(one["c_values"].as_buffer(), one["c_kind"].as_py(), one["c_n"].as_py()), vectors.ids(one["c_ids"].as_py())
+                    codes = np.frombuffer(one["codes"].as_py(), np.uint8).reshape(len(x), -1)
+                    block = Block(x, x_ids, codes, *(np.frombuffer(one[c].as_py(), "<f8") for c in ("norms", "rest")), books, t)
+                q, q_ids = vectors.matrix(one["q_values"].as_buffer(), one["q_kind"].as_py(), one["q_n"].as_py()), vectors.ids(one["q_ids"].as_py())
+                known = best.get(one["q_block"].as_py())
+                if known is None:
+                    cut = np.frombuffer(one["cutoffs"].as_py(), "<f8") if "cutoffs" in one else np.full(len(q), -np.inf)
+                    known = best[one["q_block"].as_py()] = vectors.Best(q_ids, k, cut)
                 for at in range(0, len(q), vectors.AT_ONCE):
                     part = slice(at, at + vectors.AT_ONCE)
-                    found = search(q[part], q_ids[part], x, x_ids, codes, norms, rest, books, k, rerank, t)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
-
-    found = vectors.cells(packed, index).mapInArrow(searched, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    bound = -known.cut[part]
+                    i, j, far = block.near(q[part], q_ids[part], bound, k, rerank)
+                    known.cut[part] = -bound
+                    known.add(i + at, block.ids[j], -far)
+        for known in best.values():
+            yield known.rows()
+
+    def found(asked: DataFrame, among: DataFrame) -> DataFrame:
+        return vectors.cells(asked, among).mapInArrow(searched, "query_id long, vec_id long, score double").withColumn("score", -F.col("score"))
+
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
+    n = vectors.block_count(total, vectors.CANDIDATES)
+    probes = min(n, max(PROBES, n // SHARE))
+    if probes < n:
+        kth = found(packed, vectors.probed(index, probes)).withColumn("place", place).where(F.col("place") == k).select("query_id", (-F.col("score")).alias("cutoff"))
+        packed = scratch.write(vectors.with_cutoffs(packed, kth, query_blocks, "<f8", -np.inf), "cut_queries")
+    return found(packed, index).withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -164,3 +164,25 @@ def test_no_block_is_copied_for_each_block_it_meets(spark, monkeypatch, capsys):
             assert "CartesianProduct" in plan and "explode" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_few_vectors_are_ranked_exactly_and_none_that_is_near_is_lost(monkeypatch):
+    """Random vectors and near copies: with a k-th distance known, codes rule out nearly all others."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1000:1500] = x[:500] + rng.normal(size=(500, 64)) * 0.02
+    books = ann.train(x, codebooks=16, words=64, rounds=1)
+    codes = ann.encode(x, books)
+    y = sum(books[j][codes[:, j]] for j in range(16))
+    block = ann.Block(x, np.arange(3000), codes, (y**2).sum(1), ((x - y) ** 2).sum(1), books, ann.SIGMAS / 8)
+    q, ids = np.concatenate([x[:100], rng.normal(size=(100, 64)) / 8]), np.arange(5000, 5200)
+    true = np.sqrt(((q[:, None, :] - x[None]) ** 2).sum(2))
+    ranked, distances = [], ann.Block.distances
+    monkeypatch.setattr(ann.Block, "distances", lambda self, q, i, j: (ranked.append(len(i)), distances(self, q, i, j))[1])
+    bound = np.full(200, 0.9)
+    i, j, far = block.near(q, ids, bound, 10, 32)
+    want = set(zip(*(c.tolist() for c in np.nonzero(true <= 0.9)), strict=True))
+    got = set(zip(i.tolist(), j.tolist(), strict=True))
+    assert got <= want and len(got) >= 0.99 * len(want) and np.allclose(far, true[i, j], rtol=1e-12)
+    assert sum(ranked) < 0.02 * true.size

@@ -117,3 +117,45 @@ def test_kept_texts_and_defined_cases(spark, odd):
     assert sorted(str(r) for r in kept.collect() if r["doc_id"] != 10) == want
     assert [r["text"] for r in kept.collect() if r["doc_id"] == 10] == [""]
     assert suffix.repeats(odd.limit(0)).count() == 0 and suffix.repeats(odd.limit(0), keep_text=True).count() == 0
+
+
+def test_an_anchor_of_many_contexts_is_split(monkeypatch):
+    """Every merge stays small, however many contexts one anchor has; ids and shared parts on both sides of it at random."""
+    rng, span = random.Random(5), 20
+    k = span // 2 - 1
+    held, merges, inner = {}, [], suffix.smallest_owner
+    middle = next(t for t in ("".join(rng.choice("pqrs") for _ in range(k)) for _ in range(999)) if suffix.anchors(("a" * (span - k) + t).encode(), span)[1][0] == span - k)
+    gram = suffix._mix(suffix._sums([middle.encode()], k)[:, k])[0]
+    for _ in range(3000):
+        text = ("".join(rng.choice("ab") for _ in range(span - k)) + middle + "".join(rng.choice("ab") for _ in range(span - k))).encode()
+        found = [text[f : e + span] for g, f, e in zip(*(suffix.anchors(text, span)[i] for i in (0, 2, 3)), strict=True) if g == gram]
+        for context in found:
+            held[context] = min(held.get(context, 10**6), rng.randrange(10**6))
+    strings, owner = list(held), np.array(list(held.values()))
+    assert len(strings) > 1000
+    monkeypatch.setattr(suffix, "smallest_owner", lambda s, *rest: merges.append(sum(len(x) + 1 for x in s)) or inner(s, *rest))
+    runs = suffix.owned_runs(np.full(len(strings), gram, np.uint64), strings, owner, span, rows=1000)
+    assert merges and max(merges) <= 2000
+    low = {}
+    for s, o in zip(strings, owner.tolist(), strict=True):
+        for p in range(len(s) - span + 1):
+            low[s[p : p + span]] = min(o, low.get(s[p : p + span], o))
+    got = [{} for _ in strings]
+    for context, first, last, who in zip(*(x.tolist() for x in runs), strict=True):
+        got[context] |= dict.fromkeys(range(first, last + 1), who)
+    assert got == [{p: low[s[p : p + span]] for p in range(len(s) - span + 1)} for s in strings]
+
+
+def test_only_what_contexts_share_is_merged(monkeypatch):
+    """Two versions of a passage that differ on the anchor's right: their common starts are one string, and the rest is not merged."""
+    rng, merged, inner = random.Random(8), [], suffix.smallest_owner
+    text = "".join(rng.choice("abcdefghij") for _ in range(400)).encode()
+    grams, _, first, last = suffix.anchors(text, 50)
+    i = next(i for i in range(3, len(grams)) if last[i] - first[i] > 5)
+    one = text[first[i] : last[i] + 50]
+    other = one[:-3] + b"XYZ"
+    monkeypatch.setattr(suffix, "smallest_owner", lambda s, *rest: merged.extend(s) or inner(s, *rest))
+    runs = suffix.owned_runs(np.full(2, grams[i]), [one, other], np.array([7, 4]), 50)
+    n = len(one) - 50
+    assert merged == [one[:-3]]
+    assert list(zip(*(x.tolist() for x in runs), strict=True)) == [(0, 0, n - 3, 4), (0, n - 2, n, 7), (1, 0, n, 4)]

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
+from lodestar.operators.cuts import cut
 from lodestar.plans.registry import query
 
+
 @query("SELECT o_orderkey, coalesce(c_name, '?') AS c_name FROM orders LEFT JOIN customer ON o_custkey IS NOT DISTINCT FROM c_custkey")
 def keyed_lookup_left(t):
     return t.orders.join(t.customer, F.col("o_custkey").eqNullSafe(F.col("c_custkey")), "left").select("o_orderkey", F.coalesce("c_name", F.lit("?")).alias("c_name"))
@@ -100,19 +104,63 @@ def enum_dense_counts(t):
 def lru_hits_of(trace, capacity: int):
     """seq, k -> hit: whether fewer than `capacity` other keys came since the last access of k.
 
-    A key's first access is no hit. Distinct keys in between number at most the accesses in between, so a bounded look back
-    over last accesses decides: the keys whose last access before now lies after the previous access of k.
+    A key's first access is no hit. The trace is written in ranges of seq. The latest keys of each range, `capacity` of them and
+    those level with the last, are all that a later range needs; with them each range is read once, in order.
     """
-    previous = F.lag("seq").over(W.partitionBy("k").orderBy("seq"))
-    a = trace.withColumn("prev", previous).withColumn("next", F.lead("seq").over(W.partitionBy("k").orderBy("seq")))
-    between = a.select(F.col("seq").alias("s"), F.col("next").alias("nx"))
-    gap = a.where("prev is not null").select("seq", "k", "prev")
-    # an access in (prev, seq) is its key's last one before seq if its next access is later
-    width = 64
-    left = gap.withColumn("b", F.explode(F.sequence(F.floor(F.col("prev") / width), F.floor(F.col("seq") / width))))
-    met = left.join(between.withColumn("b", F.floor(F.col("s") / width)), "b").where("s > prev and s < seq and (nx is null or nx > seq)")
-    counted = met.groupBy("seq").agg(F.count(F.lit(1)).alias("others"))
-    return a.join(gap.select("seq", F.lit(True).alias("again")), "seq", "left").join(counted, "seq", "left").select("seq", "k", (F.coalesce("again", F.lit(False)) & (F.coalesce("others", F.lit(0)) < capacity)).alias("hit"))
+    dealt = cut(trace.where("seq is not null").repartitionByRange("seq").withColumn("part", F.spark_partition_id()))
+    last = dealt.groupBy("part", "k").agg(F.max("seq").alias("seq"))
+    latest = F.rank().over(W.partitionBy("part").orderBy(F.desc("seq")))
+    kept = last.where("k is not null").withColumn("r", latest).where(F.col("r") <= capacity).drop("r").unionByName(last.where("k is null"))
+    by_part, entering, recent, unnamed = {}, {}, {}, None
+    for r in kept.collect():
+        by_part.setdefault(r["part"], []).append((r["seq"], r["k"]))
+    for part in sorted(by_part):
+        entering[part] = (list(recent.items()), unnamed)
+        for seq, k in sorted(by_part[part], key=lambda x: x[0]):
+            if k is None:
+                unnamed = seq
+            else:
+                recent.pop(k, None)
+                recent[k] = seq
+        recent = _latest(recent, capacity)
+
+    def hits(batches):
+        part, at, here, recent, unnamed = None, None, set(), {}, None
+        for batch in batches:
+            found = []
+            for p, seq, k in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "k")), strict=True):
+                if p != part:
+                    part, at, here, (recent, unnamed) = p, seq, set(), entering[p]
+                    recent = dict(recent)
+                elif seq != at:
+                    for x in here:  # accesses at one seq do not come between each other
+                        recent.pop(x, None)
+                        recent[x] = at
+                    if None in here:
+                        unnamed = recent.pop(None)
+                    if len(recent) > capacity:
+                        recent = _latest(recent, capacity)
+                    at, here = seq, set()
+                # a row without a key has a last access, but is no other key
+                found.append(k in here or (k in recent if k is not None else unnamed is not None and (len(recent) < capacity or unnamed >= next(iter(recent.values())))))
+                here.add(k)
+            yield pa.RecordBatch.from_arrays([batch.column("seq"), batch.column("k"), pa.array(found, pa.bool_())], ["seq", "k", "hit"])
+
+    schema = StructType([trace.schema["seq"], trace.schema["k"], StructField("hit", BooleanType())])
+    seen = dealt.repartition("part").sortWithinPartitions("part", "seq").mapInArrow(hits, schema)
+    # rows without a seq come after all others: nothing lies between them and their key's last access
+    lost = trace.where("seq is null").withColumn("n", F.row_number().over(W.partitionBy("k").orderBy("k"))).alias("l")
+    known = last.select("k", F.lit(True).alias("known")).distinct().alias("s")
+    late = lost.join(known, F.col("l.k").eqNullSafe(F.col("s.k")), "left").select("seq", "l.k", ((F.col("n") == 1) & F.coalesce("known", F.lit(False))).alias("hit"))
+    return seen.unionByName(late)
+
+
+def _latest(recent: dict, capacity: int) -> dict:
+    """The last `capacity` keys, in order of seq, and those level with the first of these."""
+    if len(recent) <= capacity:
+        return recent
+    least = list(recent.values())[-capacity]
+    return {k: seq for k, seq in recent.items() if seq >= least}
 
 
 @query("WITH a AS (SELECT event_id AS seq, user_id AS k, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) SELECT seq, k, prev IS NOT NULL AND (SELECT count(DISTINCT b.user_id) FROM events b WHERE b.event_id > a.prev AND b.event_id < a.seq) < 8 AS hit FROM a")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -73,8 +75,19 @@ def _gather(x: Column, steps, last: int) -> Column:
     return x
 
 
+def _words(x: Column, bits: int, n: int) -> list[Column]:
+    """The first n words of so many bits, lowest first."""
+    return [F.shiftrightunsigned(x.cast("long"), bits * k).bitwiseAND((1 << bits) - 1) for k in range(n)]
+
+
+def _joined(words: list[Column], bits: int) -> Column:
+    return functools.reduce(Column.bitwiseOR, [F.shiftleft(w, bits * k) for k, w in enumerate(words)])
+
+
 def morton2(x: Column, y: Column) -> Column:
-    return _spread(x.cast("long"), SPREAD2).bitwiseOR(F.shiftleft(_spread(y.cast("long"), SPREAD2), 1))
+    """Of the low 32 bits of both."""
+    a, b = (_spread(_words(v, 32, 1)[0], SPREAD2) for v in (x, y))
+    return a.bitwiseOR(F.shiftleft(b, 1))
 
 
 def unmorton2(c: Column) -> tuple[Column, Column]:
@@ -82,6 +95,7 @@ def unmorton2(c: Column) -> tuple[Column, Column]:
 
 
 def morton3(x: Column, y: Column, z: Column) -> Column:
+    """Of the low 21 bits of each."""
     a, b, c = (_spread(v.cast("long"), SPREAD3) for v in (x, y, z))
     return a.bitwiseOR(F.shiftleft(b, 1)).bitwiseOR(F.shiftleft(c, 2))
 
@@ -90,6 +104,22 @@ def unmorton3(c: Column) -> tuple[Column, Column, Column]:
     return tuple(_gather(F.shiftrightunsigned(c, k), SPREAD3, 0x1FFFFF) for k in range(3))
 
 
+#: Bits of each axis that a word of the code holds, and words that hold 64 bits of it.
+WORDS = {2: (32, 2), 3: (21, 4)}
+
+
+def morton_words(*axes: Column) -> list[Column]:
+    """The code of two or three axes' whole 64 bits, lowest word first."""
+    width, n = WORDS[len(axes)]
+    code = {2: morton2, 3: morton3}[len(axes)]
+    return [code(*word) for word in zip(*(_words(x, width, n) for x in axes), strict=True)]
+
+
+def unmorton_words(words: list[Column], axes: int) -> list[Column]:
+    decode = {2: unmorton2, 3: unmorton3}[axes]
+    return [_joined(list(w), WORDS[axes][0]) for w in zip(*map(decode, words), strict=True)]
+
+
 def hilbert(axes: list[np.ndarray], bits: int) -> np.ndarray:
     """Skilling's transform of coordinates (first axis most significant), interleaved to one index."""
     x = [a.astype(np.uint64).copy() for a in axes]

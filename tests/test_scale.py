@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from lodestar.plans import catalogue, keyed
@@ -27,3 +28,18 @@ def test_lru_hits_rows_do_not_grow_with_the_gaps(spark):
     trace = spark.range(6000).select((F.col("id") * 10**12).alias("seq"), (F.col("id") % 3000).alias("k"))
     assert keyed.lru_hits_of(trace, 8).where("hit").count() == 0
     assert keyed.lru_hits_of(trace, 3000).where("hit").count() == 3000
+
+
+def test_morton_codes_of_keys_past_20_bits(spark, tmp_path):
+    keys = [5, 2**20 - 1, 2**20, 1_200_000, 7_199_999, 2**31, 2**40 + 12345, 3 * 2**59 + 99, -7]
+    spark.createDataFrame([(k, 1 + i) for i, k in enumerate(keys)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    for name in ("morton2d", "morton3d", "morton2d_whole", "morton3d_whole"):
+        df = catalogue.queries()[name](spark, str(tmp_path))
+        want = duck.execute(catalogue.oracles()[name])
+        columns = [d[0] for d in want.description]
+        rows = want.fetchall()
+        assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == sorted(rows) and len(rows) == len(keys)
+        if name.endswith("whole"):
+            assert len({r[1:5] for r in rows}) == len(keys)

@@ -1,7 +1,8 @@
-"""Written copies that cut lineage, in the folder that all machines share."""
+"""Written copies that cut lineage, in the folder that all machines share, and tasks that stay as small however large the input is."""
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import tempfile
@@ -9,6 +10,13 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+TASK_ROWS = 500_000
+
+
+def tasks(df: DataFrame) -> int:
+    """Shuffle partitions for so many rows: TASK_ROWS each, or the session's number. Rows of a table's plain columns are counted from the files' footers."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / TASK_ROWS))
+
 
 def cut(df: DataFrame) -> DataFrame:
     """A written copy of `df` in the folder that the cluster names. Only a local session may leave it unset: it gets a temporary one."""

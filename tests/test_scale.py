@@ -5,6 +5,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
+from lodestar.operators import graph
 from lodestar.plans import catalogue, keyed
 
 
@@ -43,3 +44,35 @@ def test_morton_codes_of_keys_past_20_bits(spark, tmp_path):
         assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == sorted(rows) and len(rows) == len(keys)
         if name.endswith("whole"):
             assert len({r[1:5] for r in rows}) == len(keys)
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    rng = random.Random(5)
+    chain = [(i, i + 1) for i in range(300)] + [(1000 - i % 2 * 400 - i, 999 - (i + 1) % 2 * 400 - i) for i in range(200)]
+    star = [(5000, 2000 + i) for i in range(200)] + [(7000, 7000), (8001, 8000), (8000, 8001), (8001, 8000), (None, 3)]
+    edges = chain + star + [(10_000 + rng.randrange(400), 10_000 + rng.randrange(400)) for _ in range(260)]
+    ids = sorted({v for e in edges for v in e if v is not None} | {20_000})
+    label = {v: v for v in ids}
+
+    def root(v):
+        while label[v] != v:
+            v = label[v]
+        return v
+
+    for a, b in edges:
+        if a is not None:
+            a, b = sorted((root(a), root(b)))
+            label[b] = a
+    want = {v: root(v) for v in ids}
+    sizes = {c: list(want.values()).count(c) for c in want.values()}
+    rows = graph.components(spark.createDataFrame([(v,) for v in ids], "id long"), spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert sorted(map(tuple, rows)) == sorted((v, c, sizes[c]) for v, c in want.items())
+
+
+def test_components_take_few_rounds(spark, monkeypatch):
+    """A chain of 2,000 is contracted at once; passing labels on took a written table for each doubling of their reach and each edge anew."""
+    written, cut = [], graph._cut
+    monkeypatch.setattr(graph, "_cut", lambda df: (written.append(df.columns), cut(df))[1])
+    chain = spark.range(1999).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.components(spark.range(2000), chain).where("component = 0 and size = 2000").count() == 2000
+    assert written.count(["src", "dst"]) == 1

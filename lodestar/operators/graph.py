@@ -34,16 +34,16 @@ def topological_levels(edges: DataFrame) -> tuple[DataFrame, bool]:
     reached, before, level = [], None, 0
     while True:
         level += 1
-        targets = _cut(left.where("dst is not null").select(F.col("dst").alias("vertex")).distinct())
+        targets = _cut(left.where("dst is not null").select(F.col("dst").alias("vertex")).repartition(n, "vertex").distinct())
         count = targets.count()
         if not count or count == before:
             break
         reached.append(targets.withColumn("level", F.lit(level)))
-        rest = left.repartition(n, "src").join(targets, F.col("src") == F.col("vertex"), "left_semi")
-        left, before = _cut(rest), count
+        rest = left.repartition(n, "src").join(targets, F.col("src") == F.col("vertex"))  # a semi join would go below the repartition
+        left, before = _cut(rest.select("src", "dst")), count
         n = tasks(left)
-    starts = edges.select(F.col("src").alias("vertex")).where("vertex is not null").distinct().withColumn("level", F.lit(0))
-    levels = functools.reduce(DataFrame.unionByName, reached, starts).groupBy("vertex").agg(F.max("level").alias("level"))
+    starts = edges.select(F.col("src").alias("vertex")).where("vertex is not null").withColumn("level", F.lit(0))
+    levels = functools.reduce(DataFrame.unionByName, reached, starts).repartition(tasks(edges), "vertex").groupBy("vertex").agg(F.max("level").alias("level"))
     if count:  # these are on a cycle or behind one
         levels = levels.join(targets, "vertex", "left_anti")
     return levels, count > 0
@@ -51,16 +51,16 @@ def topological_levels(edges: DataFrame) -> tuple[DataFrame, bool]:
 
 def reaches(edges: DataFrame, start: int, end: int) -> bool:
     """Whether a path of one edge or more leads from start to end."""
-    frontier = edges.sparkSession.createDataFrame([(start,)], f"vertex {edges.schema['dst'].dataType.simpleString()}")
-    seen = None
+    found, seen = edges.where(F.col("src") == start), None
     while True:
-        found = edges.join(frontier, F.col("src") == F.col("vertex"), "left_semi").select(F.col("dst").alias("vertex")).distinct()
+        found = found.select(F.col("dst").alias("vertex")).where("vertex is not null").distinct()
         frontier = _cut(found if seen is None else found.join(seen, "vertex", "left_anti"))
         if frontier.where(F.col("vertex") == end).limit(1).count():
             return True
         if frontier.isEmpty():
             return False
         seen = frontier if seen is None else seen.unionByName(frontier)
+        found = edges.repartition(tasks(edges), "src").join(frontier, F.col("src") == F.col("vertex")).select("dst")
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -76,10 +76,10 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         to = _cut(ends.select(F.col("src").alias("v"), F.least("src", "near").alias("to")))
         if to.isEmpty():
             break
-        moving = True
+        moving, m = True, tasks(to)
         while moving:  # to the end, so that none of those that stay has moved
             after = to.select(F.col("v").alias("by"), F.col("to").alias("far"))
-            step = _cut(to.join(after, F.col("to") == F.col("by")).select("v", F.col("far").alias("to"), (F.col("far") < F.col("to")).alias("moving")))
+            step = _cut(to.repartition(m, "to").join(after.repartition(m, "by"), F.col("to") == F.col("by")).select("v", F.col("far").alias("to"), (F.col("far") < F.col("to")).alias("moving")))
             to, moving = step.drop("moving"), not step.where("moving").isEmpty()
         moves.append(to.where("v <> to"))
         a, b = to.select(F.col("v").alias("src"), F.col("to").alias("a")), to.select(F.col("v").alias("dst"), F.col("to").alias("b"))
@@ -97,7 +97,8 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             roots = move
     if roots is None:
         return labels.select("vertex", F.col("vertex").alias("component"), F.lit(1).cast("long").alias("size"))
-    labels = _cut(labels.join(roots, F.col("vertex") == F.col("v"), "left").select("vertex", F.coalesce("to", "vertex").alias("component")))
+    n = tasks(labels)
+    labels = _cut(labels.repartition(n, "vertex").join(roots.repartition(n, "v"), F.col("vertex") == F.col("v"), "left").select("vertex", F.coalesce("to", "vertex").alias("component")))
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     large = labels.join(F.broadcast(sizes.where(F.col("size") > LARGE)), "component", "left")  # so that no task gets all rows of one
     small = large.where("size is null").drop("size").join(sizes, "component")

@@ -5,7 +5,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from lodestar.operators import graph
+from lodestar.operators import cuts, graph
 from lodestar.plans import catalogue, keyed
 
 
@@ -76,3 +76,39 @@ def test_components_take_few_rounds(spark, monkeypatch):
     chain = spark.range(1999).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert graph.components(spark.range(2000), chain).where("component = 0 and size = 2000").count() == 2000
     assert written.count(["src", "dst"]) == 1
+
+
+def test_levels_and_cycles_with_repeated_edges(spark):
+    edges = [(1, 2), (1, 2), (2, 3), (1, 3), (3, 4), (9, 4), (9, 4), (None, 5), (6, None)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    levels, cyclic = graph.topological_levels(df)
+    assert {tuple(r) for r in levels.collect()} == {(1, 0), (9, 0), (2, 1), (3, 2), (4, 3), (5, 1), (6, 0)} and not cyclic
+    looped = df.union(spark.createDataFrame([(4, 2), (4, 7)], "src long, dst long"))
+    levels, cyclic = graph.topological_levels(looped)
+    assert {tuple(r) for r in levels.collect()} == {(1, 0), (9, 0), (5, 1), (6, 0)} and cyclic  # 2, 3, 4 are on the cycle and 7 behind it
+    assert graph.reaches(df, 1, 4) and not graph.reaches(df, 4, 1) and not graph.reaches(df, 1, 1) and graph.reaches(looped, 2, 2)
+
+
+def test_levels_read_edges_once_a_level(spark, monkeypatch):
+    """Edges that occur often are neither sorted out first nor written more than once a level."""
+    written, cut = [], graph._cut
+    monkeypatch.setattr(graph, "_cut", lambda df: (written.append(df.columns), cut(df))[1])
+    chain = spark.createDataFrame([(i, i + 1) for i in range(4)] * 50, "src long, dst long")
+    levels, cyclic = graph.topological_levels(chain)
+    assert {tuple(r) for r in levels.collect()} == {(i, i) for i in range(5)} and not cyclic
+    assert written.count(["src", "dst"]) == 4 and written.count(["vertex"]) == 5 and len(written) == 9
+
+
+def test_cycle_query_peels_the_graph_once(spark, monkeypatch):
+    seen, peel = [], graph.topological_levels
+    monkeypatch.setattr(graph, "topological_levels", lambda e: (seen.append(1), peel(e))[1])
+    (row,) = catalogue.queries()["graph_has_cycle"](spark, "/root/testdata/sf0.001").collect()
+    assert tuple(row) == (True, False) and len(seen) == 1
+
+
+def test_tasks_of_whole_graphs_grow_with_the_rows(spark, monkeypatch):
+    """So that the memory of one does not: 500,000 rows each, here 500."""
+    monkeypatch.setattr(cuts, "TASK_ROWS", 500)
+    rows = sum(spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").count() * n for t, n in (("orders", 1), ("lineitem", 2)))
+    for name in ("graph_degree_whole", "graph_contains_edge_whole", "graph_neighbors_whole"):
+        assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-rows // 500), name

@@ -6,6 +6,8 @@ predicate; a pair that meets in several buckets counts in one. Bucket widths bou
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,34 +99,47 @@ def box_overlap(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
 def nearest(points: DataFrame, queries: DataFrame, k: int, cell: float, max_distance: float | None = None) -> DataFrame:
     """queries(q, qx, qy) with their k nearest points(id, x, y): q, id, d2, rank; ties to the smaller id.
 
-    Rings of cells around the query widen fourfold until each query has k points that no farther ring can beat. Each
-    round is written, and only queries that are not settled enter the next.
+    Of points at one place only the k smallest ids can be among the nearest, and queries at one place have the same ones: places
+    meet, not rows. Rings of cells around a place widen fourfold until it has k points that no farther ring can beat. Each round is
+    written, and only places that are not settled enter the next.
     """
-    p = points.withColumn("_c", F.struct(F.floor(F.col("x") / cell).alias("i"), F.floor(F.col("y") / cell).alias("j")))
-    bounds = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    by_place = F.row_number().over(W.partitionBy("x", "y").orderBy("id"))
+    p = points.where(~F.isnan("x") & ~F.isnan("y")).withColumn("_n", by_place).where(F.col("_n") <= k).drop("_n")
+    p = cut(p).withColumn("_c", F.struct(F.floor(F.col("x") / cell).alias("i"), F.floor(F.col("y") / cell).alias("j")))
+    places = cut(queries.select("qx", "qy").where(~F.isnan("qx") & ~F.isnan("qy")).distinct())
+    bounds = p.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
     if bounds["x0"] is None:
         return queries.limit(0).select("q", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("d2"), F.lit(1).alias("rank"))
-    far = queries.agg(F.max(F.greatest(F.abs(F.col("qx") - bounds["x0"]), F.abs(F.col("qx") - bounds["x1"]), F.abs(F.col("qy") - bounds["y0"]), F.abs(F.col("qy") - bounds["y1"]))).alias("m")).first()["m"] or 0.0
-    reach, left, done = cell, queries, None
+    far = places.agg(F.max(F.greatest(F.abs(F.col("qx") - bounds["x0"]), F.abs(F.col("qx") - bounds["x1"]), F.abs(F.col("qy") - bounds["y0"]), F.abs(F.col("qy") - bounds["y1"]))).alias("m")).first()["m"] or 0.0
+    reach, left, done = cell, places, None
     d2 = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
-    rank = F.row_number().over(W.partitionBy("q").orderBy("d2", "id"))
+    rank = F.row_number().over(W.partitionBy("qx", "qy").orderBy("d2", "id"))
     while True:
         last = reach > far or (max_distance is not None and reach >= max_distance)
         limit = reach if max_distance is None else min(reach, max_distance)
         near = left.withColumn("_c", _cells(F.col("qx"), F.col("qy"), cell, reach)).join(p, "_c").withColumn("d2", d2)
         if not last or max_distance is not None:
             near = near.where(F.col("d2") <= limit * limit)
-        found = near.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "id", "d2", "rank")
-        found = found if last else cut(found)
+        found = cut(near.withColumn("rank", rank).where(F.col("rank") <= k).select("qx", "qy", "id", "d2", "rank"))
         if last:
-            return found if done is None else done.unionByName(found)
-        full = found.where(F.col("rank") == k).select("q")
-        part = found.join(full, "q", "left_semi")
+            done = found if done is None else done.unionByName(found)
+            break
+        full = found.where(F.col("rank") == k).select("qx", "qy")
+        part = found.join(full, ["qx", "qy"], "left_semi")
         done = part if done is None else done.unionByName(part)
-        left = cut(left.join(full, "q", "left_anti"))
+        left = cut(left.join(full, ["qx", "qy"], "left_anti"))
         if left.isEmpty():
-            return done
+            break
         reach *= 4
+    each = queries.join(done.drop("rank"), ["qx", "qy"])
+    return each.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("d2", "id"))).where(F.col("rank") <= k).select("q", "id", "d2", "rank")
+
+
+def tally(things: DataFrame, queries: DataFrame, place: list[str], asked: list[str], pairs: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """q, n, ids: number and sum of ids of the things that `pairs` joins to each query. Things at one place, and queries that ask the same, meet once."""
+    places = things.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+    found = pairs(places, queries.select(*asked).distinct()).groupBy(*asked).agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))
+    return queries.join(found, asked).groupBy("q").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))
 
 
 def prefix_join(keys: DataFrame, prefixes: DataFrame, key: str, prefix: str) -> DataFrame:

@@ -88,6 +88,7 @@ def asof_upper_bound_whole(t):
 
 PT = "SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part"
 QP = f"SELECT id AS q, x + 0.25 AS qx, y + 0.25 AS qy FROM ({PT}) WHERE id % 40 = 0"
+CORNERS = ["min_x", "min_y", "max_x", "max_y"]
 D2 = "(x - qx) * (x - qx) + (y - qy) * (y - qy)"
 
 
@@ -101,13 +102,13 @@ def _queries(t):
 
 @query(f"SELECT q, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM ({QP}), ({PT}) WHERE {D2} <= 9 GROUP BY q")
 def spatial_radius(t):
-    return joins.within_radius(_points(t), _queries(t), 3.0).groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+    return joins.tally(_points(t), _queries(t), ["x", "y"], ["qx", "qy"], lambda p, q: joins.within_radius(p, q, 3.0))
 
 
 @query(f"SELECT q, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM ({QP}), ({PT}) WHERE x BETWEEN qx - 2.25 AND qx + 2 AND y BETWEEN qy - 1.25 AND qy + 3 GROUP BY q")
 def spatial_rectangle(t):
     boxes = _queries(t).select("q", (F.col("qx") - 2.25).alias("min_x"), (F.col("qy") - 1.25).alias("min_y"), (F.col("qx") + 2).alias("max_x"), (F.col("qy") + 3).alias("max_y"))
-    return joins.in_rectangle(_points(t), boxes, 4.0).groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+    return joins.tally(_points(t), boxes, ["x", "y"], CORNERS, lambda p, b: joins.in_rectangle(p, b, 4.0))
 
 
 KNN = f"SELECT q, id, round(d2, 9) AS d2, CAST(r AS INTEGER) AS rank FROM (SELECT q, id, {D2} AS d2, row_number() OVER (PARTITION BY q ORDER BY {D2}, id) AS r FROM ({QP}), ({PT})) WHERE r <= "
@@ -143,15 +144,14 @@ def _boxes(t):
 @query(f"WITH b AS ({BX}) SELECT q.id AS q, count(*) AS n, CAST(sum(b.id) AS BIGINT) AS ids FROM b, b q WHERE q.id % 40 = 0 AND b.min_x <= q.max_x AND q.min_x <= b.max_x AND b.min_y <= q.max_y AND q.min_y <= b.max_y GROUP BY q.id")
 def box_overlap(t):
     b = _boxes(t)
-    q = b.where("id % 40 = 0").select(F.col("id").alias("q"), *(F.col(c).alias(f"q_{c}") for c in ("min_x", "min_y", "max_x", "max_y")))
-    return joins.box_overlap(b, q, 4.0).groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+    q = b.where("id % 40 = 0").select(F.col("id").alias("q"), *(F.col(c).alias(f"q_{c}") for c in CORNERS))
+    return joins.tally(b, q, CORNERS, [f"q_{c}" for c in CORNERS], lambda x, y: joins.box_overlap(x, y, 4.0))
 
 
 @query(f"SELECT q, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM ({BX}), ({QP}) WHERE qx BETWEEN min_x AND max_x AND qy BETWEEN min_y AND max_y GROUP BY q")
 def box_at_point(t):
-    points = _queries(t).select(F.col("q").alias("id"), F.col("qx").alias("x"), F.col("qy").alias("y"))
-    boxes = _boxes(t).withColumnRenamed("id", "q")
-    return joins.in_rectangle(points, boxes, 4.0).groupBy(F.col("id").alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("ids")).withColumnRenamed("p", "q")
+    points = _queries(t).select("q", F.col("qx").alias("x"), F.col("qy").alias("y"))
+    return joins.tally(_boxes(t), points, CORNERS, ["x", "y"], lambda b, p: joins.in_rectangle(p, b, 4.0))
 
 
 @query(f"SELECT min(min_x) AS min_x, min(min_y) AS min_y, max(max_x) AS max_x, max(max_y) AS max_y FROM ({BX})")

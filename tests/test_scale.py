@@ -5,7 +5,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from lodestar.operators import cuts, graph
+from lodestar.operators import cuts, graph, joins
 from lodestar.plans import catalogue, keyed
 
 
@@ -112,3 +112,30 @@ def test_tasks_of_whole_graphs_grow_with_the_rows(spark, monkeypatch):
     rows = sum(spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").count() * n for t, n in (("orders", 1), ("lineitem", 2)))
     for name in ("graph_degree_whole", "graph_contains_edge_whole", "graph_neighbors_whole"):
         assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-rows // 500), name
+
+
+def test_rows_at_one_place_meet_once(spark):
+    """400 points and 40 queries at each of two places: as many pairs as places, and the smallest ids."""
+    points = spark.range(800).select("id", (F.col("id") % 2 * 5.0).alias("x"), F.lit(0.0).alias("y"))
+    queries = spark.range(80).select(F.col("id").alias("q"), (F.col("id") % 2 * 5.0 + 0.25).alias("qx"), F.lit(0.25).alias("qy"))
+    met = []
+
+    def pairs(p, q):
+        met.append(joins.within_radius(p, q, 3.0))
+        return met[-1]
+
+    want = {(q, 400, sum(range(q % 2, 800, 2))) for q in range(80)}
+    assert {tuple(r) for r in joins.tally(points, queries, ["x", "y"], ["qx", "qy"], pairs).collect()} == want
+    assert met[0].count() == 2
+    near = joins.nearest(points, queries, 3, 2.0)
+    assert {(r["q"], r["rank"]): r["id"] for r in near.collect()} == {(q, n): q % 2 + 2 * n - 2 for q in range(80) for n in (1, 2, 3)}
+
+
+def test_nearest_joins_places(spark, monkeypatch):
+    written, cut = [], joins.cut
+    monkeypatch.setattr(joins, "cut", lambda df: (written.append(cut(df)), written[-1])[1])
+    points = spark.range(800).select("id", (F.col("id") % 2 * 5.0).alias("x"), F.lit(0.0).alias("y"))
+    queries = spark.range(80).select(F.col("id").alias("q"), (F.col("id") % 2 * 5.0 + 0.25).alias("qx"), F.lit(0.25).alias("qy"))
+    odd = queries.union(spark.createDataFrame([(99, float("nan"), 0.0)], "q long, qx double, qy double"))
+    assert joins.nearest(points, odd, 3, 2.0).count() == 240
+    assert max(df.count() for df in written) == 6
